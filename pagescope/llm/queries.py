@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from pagescope.llm import byte_bpe
+from pagescope.llm.storage import table
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe}
 ORACLES: dict = {}
