@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescope.llm import byte_bpe
+from pagescope.llm import byte_bpe, language_id, secret_scan, token_files
 from pagescope.llm.storage import table
 
 
@@ -14,5 +14,26 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out(out["doc_id"]).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.find_secrets(docs.select("doc_id", "text")).drop("text")
+
+
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op6_token_files": op6_token_files,
+    "op7_language_id": op7_language_id,
+    "op9_secret_scan": op9_secret_scan,
+}
 ORACLES: dict = {}

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,5 +56,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """The schema with more fields."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def open_folder(uri: str):
+    """(file system, path) of a folder that any worker can reach."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    system.create_dir(path, recursive=True)
+    return system, path
+
+
+def put_file(system, path: str, parts) -> int:
+    """Writes the parts as one file that appears whole or not at all, whichever attempt of a task comes last."""
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    size = 0
+    with system.open_output_stream(own) as out:
+        for part in parts:
+            out.write(part)
+            size += len(part)
+    system.move(own, path)
+    return size
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
