@@ -74,7 +74,7 @@ def put_file(system, path: str, parts) -> int:
     """Writes the parts as one file that appears whole or not at all, whichever attempt of a task comes last."""
     own = f"{path}.{uuid.uuid4().hex}.tmp"
     size = 0
-    with system.open_output_stream(own) as out:
+    with system.open_output_stream(own, compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)
