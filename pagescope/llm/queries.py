@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescope.llm import byte_bpe, language_id, secret_scan, token_files, warc
-from pagescope.llm.storage import table
+from pagescope.llm import byte_bpe, decontaminate, fingerprint, language_id, secret_scan, token_files, warc
+from pagescope.llm.storage import shuffle_partitions, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -34,11 +38,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(docs.select("doc_id", "text")).drop("text")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"), shuffle_partitions(spark))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {}
