@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescope.llm import byte_bpe, decontaminate, fingerprint, language_id, secret_scan, token_files, warc
+from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, secret_scan, token_files, warc
 from pagescope.llm.storage import shuffle_partitions, table
 
 
@@ -18,6 +18,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: A conversation whose texts are control strings of another template.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    values = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in PROBE)
+    return chat_format.digest_rows(turns.unionByName(spark.sql(f"SELECT * FROM VALUES {values} AS p(conv_id, turn, role, text)")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
