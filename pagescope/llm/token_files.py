@@ -13,6 +13,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,9 +29,9 @@ from pagescope.llm import storage
 
 MAGIC = b"PSHUFF01"
 #: Longest code; ids in a block; ids after which a new file begins.
-MAX_BITS, BLOCK, FILE_IDS = 18, 512, 1 << 22
+MAX_BITS, BLOCK, FILE_IDS = 18, 512, 1 << 20
 #: Words that a worker remembers the ids of; then it starts anew. Bounds memory only.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 # ---- code lengths -------------------------------------------------------------
@@ -182,28 +183,71 @@ def parse_file(data: bytes):
 # ---- tokens -------------------------------------------------------------------
 
 
+#: A word of one run of letters, then perhaps signs; letters for which the library's lower case and composition are Python's.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+
 class WordTokenizer:
-    """A tokenizers file whose pieces never cross ASCII white space: the library encodes each distinct word once."""
+    """A tokenizers file that lower-cases, drops white space and whose tokens end words.
+
+    No piece crosses ASCII white space, so the library encodes each distinct word
+    once. A run of letters is a piece of its own whatever signs follow it; runs go to
+    the library many at a time, as one text, and word ends tell their ids apart.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size < 1 << 16 else "<u4"
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 512):
+            part = runs[i : i + 512]
+            ids = np.array(self._ids([" ".join(part)])[0], self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("a run of letters is more than one piece")
+            at = 0
+            for run, stop in zip(part, stops.tolist(), strict=True):
+                self.runs[run] = ids[at:stop].tobytes()
+                at = stop
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain, other = {}, []
+        for w in words:
+            text = w.decode()
+            if m := _PLAIN(text):
+                plain[w] = (m[1].lower(), m[2])
+            else:
+                other.append((w, text))
+        pieces = {x for run, _ in plain.values() if (x := run) not in self.runs}
+        self._learn_runs(list(pieces))
+        signs = list({x for _, x in plain.values() if x and x not in self.runs})
+        for x, ids in zip(signs, self._ids(signs), strict=True):
+            self.runs[x] = np.array(ids, self.dtype).tobytes()
+        for w, (run, sign) in plain.items():
+            self.words[w] = self.runs[run] + self.runs[sign] if sign else self.runs[run]
+        for (w, _), ids in zip(other, self._ids([t for _, t in other]), strict=True):
+            self.words[w] = np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text as little-endian integers of dtype."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        self._learn({w for words in split for w in words if w not in self.words})
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=1)
@@ -215,11 +259,10 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (binary: 32-bit little-endian) of each whole text with the end id."""
-    end = struct.pack("<I", end_id)
-
+    """doc_id, ids (binary: little-endian integers of the tokenizer's dtype) of each whole text with the end id."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
+        end = np.array([end_id], coder.dtype).tobytes()
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -229,14 +272,15 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+def id_counts(tokens: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
     """How often each id occurs in the column ids: at most one row an id comes to the driver."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in it:
-            joined = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            total += np.bincount(joined, minlength=vocabulary)
+            for at in range(0, batch.num_rows, 512):
+                joined = np.frombuffer(b"".join(batch.column(0).slice(at, 512).to_pylist()), dtype)
+                total += np.bincount(joined, minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -246,9 +290,9 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray) -> DataFrame:
+def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray, dtype: str) -> DataFrame:
     """Writes tokens, sorted by range partitions of doc_id, and returns part, file, n_ids (lazily)."""
-    codes = canonical(lengths)
+    codes, width = canonical(lengths), np.dtype(dtype).itemsize
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = storage.open_folder(folder)
@@ -260,8 +304,8 @@ def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray) -> DataFram
             nonlocal doc_ids, ids, held, before
             if doc_ids:
                 name = f"tokens-{part:06d}-{len(names):05d}.bin"
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                flat = np.frombuffer(b"".join(ids), "<u4")
+                n = np.array([len(x) // width for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), dtype)
                 storage.put_file(system, f"{root}/{name}", file_parts(before, np.array(doc_ids, np.int64), n, flat, lengths, codes))
                 names.append(name)
                 sizes.append(len(flat))
@@ -269,10 +313,10 @@ def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray) -> DataFram
             doc_ids, ids, held = [], [], 0
 
         for batch in it:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc_ids.append(-1 if d is None else d)
-                ids.append(x)
-                held += len(x) // 4
+                ids.append(x.as_py())
+                held += len(ids[-1]) // width
                 if held >= FILE_IDS:
                     flush()
         flush()
@@ -291,7 +335,7 @@ def read_files(spark: SparkSession, folder: str, files: DataFrame, starts: dict[
                 with system.open_input_file(f"{root}/{name}") as f:
                     before, doc_ids, sizes, ids = parse_file(f.read())
                 ends = np.cumsum(sizes)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts[part] + before + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -302,12 +346,13 @@ def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = No
     """Encodes docs, writes the files into folder and reads them back."""
     spark = docs.sparkSession
     folder = folder or storage.new_path(spark, "token-files")
+    coder = tokenizer(path)
     tokens = storage.materialise(encode_ids(docs, path, end_id), "token-ids")
-    vocabulary = max(tokenizer(path).tokenizer.get_vocab_size(), end_id + 1)
-    lengths = code_lengths(id_counts(tokens, vocabulary))
+    vocabulary = max(coder.tokenizer.get_vocab_size(), end_id + 1)
+    lengths = code_lengths(id_counts(tokens, vocabulary, coder.dtype))
     parts = storage.shuffle_partitions(spark)
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    files = storage.materialise(write_files(ordered, folder, lengths), "token-index")
+    files = storage.materialise(write_files(ordered, folder, lengths, coder.dtype), "token-index")
     totals = dict(files.groupBy("part").agg(F.sum("n_ids")).collect())  # a row a partition
     starts, at = {}, 0
     for part in sorted(totals):
