@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, secret_scan, token_files, warc
+from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, ngram_join, secret_scan, token_files, warc
 from pagescope.llm.storage import shuffle_partitions, table
 
 
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_groups(table(spark, sf_dir, "documents"), k=4, percent=85).drop("class")
+
+
 #: A conversation whose texts are control strings of another template.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -55,6 +59,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ngram_join": op3_ngram_join,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,

@@ -13,6 +13,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -246,7 +247,11 @@ class WordTokenizer:
             self.words.clear()
         if len(self.runs) > REMEMBERED:
             self.runs.clear()
-        self._learn({w for words in split for w in words if w not in self.words})
+        gc.disable()  # only references that count themselves; a look at all of them takes as long as the work
+        try:
+            self._learn({w for words in split for w in words if w not in self.words})
+        finally:
+            gc.enable()
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
