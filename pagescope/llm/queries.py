@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, ngram_join, secret_scan, token_files, warc
+from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, ngram_join, secret_scan, substring_dedup, token_files, warc
 from pagescope.llm.storage import shuffle_partitions, table
 
 
@@ -47,6 +47,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(out["doc_id"]).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest_rows(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.find_secrets(docs.select("doc_id", "text")).drop("text")
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
 }
