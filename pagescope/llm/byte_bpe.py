@@ -123,6 +123,7 @@ class ByteBpe:
         self.simple = pattern == SIMPLE_FOR
         self.bytes_of: dict[str, bytes] = {}
         self.id_text = _Memo(self._learn)
+        self.packed = _Memo(lambda piece: np.array(self.piece_ids(piece.encode("utf-8", "replace")), "<i4").tobytes())
 
     def _learn(self, piece: str) -> str:
         """Decimal ids of a piece; also notes the bytes that they decode to."""
@@ -177,6 +178,12 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in self.piece_ids(piece.encode("utf-8", "replace"))]
 
+    def id_bytes(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        if len(self.packed) > REMEMBERED:
+            self.packed.clear()
+        return b"".join(map(self.packed.__getitem__, self.pieces(text)))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -203,9 +210,12 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in it:
-            new = pa.array([bpe.encode(t or "") for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
-            keep = [c for c in batch.schema.names if c != ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), new], [*keep, ids])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                packed = [bpe.id_bytes(t or "") for t in part.column(text).to_pylist()]
+                flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                offsets = pa.array(np.cumsum([0, *map(len, packed)]) // 4, pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], [*part.schema.names, ids])
 
     base = docs.drop(ids)
     return base.mapInArrow(batches, base.withColumn(ids, F.lit(None).cast("array<int>")).schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,5 +72,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {}
