@@ -1,6 +1,638 @@
-"""The query catalogue of the engine's own operators and its SQL oracles."""
+"""The query catalogue of the engine's own operators, each with its SQL oracle where SQL can tell the rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagescope import registry as R
+from pagescope.functions import crawl
+from pagescope.functions import html as H
+from pagescope.functions import text as X
+from pagescope.functions import urls as U
+from pagescope.operators import advise, checks, fold, pages, quality, report, resolve, score
+from pagescope.plans import audit as A
+from pagescope.plans import sql as Q
+from pagescope.streaming import events as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.test_pages(spark, sf_dir)
+
+
+def _long(c) -> F.Column:
+    return c.cast("long")
+
+
+# ---- scalars over pages -----------------------------------------------------------
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, length({Q.visible('html')}) AS n_chars, md5({Q.visible('html')}) AS digest FROM p")
+def visible_text(spark, sf_dir):
+    t = X.visible_text(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", _long(F.length(t)).alias("n_chars"), F.md5(t.cast("binary")).alias("digest"))
+
+
+_SCRIPTS = r"coalesce(list_sum(list_transform(regexp_extract_all(html, '<script\b[^>]*>.*?</script>', 0, 'is'), lambda x: length(x))), 0)"
+
+
+@query(f"""WITH {Q.PAGES}, t AS (SELECT page_id, length({Q.visible('html')}) AS chars, {_SCRIPTS}::BIGINT AS script_bytes, len(list_filter({Q.quoted(X.SPA_MARKERS)}, lambda m: contains(html, m))) AS markers FROM p)
+SELECT page_id, chars AS visible_text_chars, script_bytes, markers, CASE WHEN chars > 0 THEN script_bytes::DOUBLE / chars END AS ratio, CASE WHEN chars > 0 THEN script_bytes::DOUBLE / chars > 3.0 ELSE script_bytes > 0 END AS over, markers > 0 AND script_bytes::DOUBLE / chars > 3.0 AS client_rendered FROM t""")
+def spa_signals(spark, sf_dir):
+    s = X.spa_signals(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", s.alias("s")).select(
+        "page_id", "s.visible_text_chars", "s.script_bytes", _long(F.size("s.framework_markers")).alias("markers"), F.col("s.script_to_text_ratio").alias("ratio"),
+        F.col("s.script_to_text_exceeds_threshold").alias("over"), F.col("s.client_rendered_likely").alias("client_rendered"),
+    )
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, {Q.LANG} AS lang, coalesce({Q.LANG} = 'en', false) AS supported FROM p")
+def language_gate(spark, sf_dir):
+    lang = X.detect_language(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", lang.alias("lang"), X.language_supported(lang, R.SUPPORTED_LANGUAGES).alias("supported"))
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, {Q.ROBOTS} AS robots, CASE WHEN contains({Q.ROBOTS}, 'noindex') THEN 'fail' ELSE 'pass' END AS state FROM p")
+def noindex_state(spark, sf_dir):
+    r = X.meta_robots(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", r.alias("robots"), F.when(F.contains(r, F.lit("noindex")), "fail").otherwise("pass").alias("state"))
+
+
+@query(f"SELECT page_id, {Q.HOST} AS host, {Q.PATH} AS path, {Q.DEPTH} AS depth FROM pages")
+def url_parts(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", U.host_of(F.col("url")).alias("host"), F.try_parse_url(F.col("url"), F.lit("PATH")).alias("path"), _long(U.path_depth(F.col("url"))).alias("depth"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(b, '^[a-z]+://[^/?]+$') THEN b || '/' ELSE regexp_replace(b, '^([a-z]+://[^/?]+)\?', '\1/?') END AS normal FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages)")
+def normalized_urls(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", U.normalize_url(F.col("url")).alias("normal"))
+
+
+@query(f"""WITH h AS (SELECT page_id, url, {Q.HOST} AS site_id, {Q.DEPTH} AS depth, {Q.PATH} AS path FROM pages), l AS (SELECT *, lead(site_id) OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS other FROM h)
+SELECT page_id, coalesce(site_id = other, false) AS same, coalesce(site_id = other, false) AND depth <= 2 AND NOT regexp_matches(path, '(?i)\\.({'|'.join(e[1:] for e in U.EXCLUDED)})$') AS auditable FROM l""")
+def auditable(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("other", F.lead("url").over(Window.partitionBy(F.col("page_id") % 10).orderBy("page_id")))
+    return p.select("page_id", U.same_site(F.col("url"), F.col("other")).alias("same"), U.is_auditable(F.col("url"), F.col("other")).alias("auditable"))
+
+
+_URLS = ["https://a.example/x", "http://u:p@a.example/", "ftp://a.example/", "https://a.example:8443/", "http://a.example:80/x", "https:///x", "javascript:void(0)"]
+
+
+@query("SELECT * FROM (VALUES ('ftp://a.example/', 'ftp://a.example/', 'scheme'), ('http://a.example:80/x', 'http://a.example:80/x', NULL), ('http://u:p@a.example/', 'http://[REDACTED]@a.example/', 'userinfo'), ('https:///x', 'https:///x', 'host'), ('https://a.example/x', 'https://a.example/x', NULL), ('https://a.example:8443/', 'https://a.example:8443/', 'port'), ('javascript:void(0)', 'javascript:void(0)', 'scheme')) AS t(url, redacted, problem)")
+def url_guard(spark, sf_dir):
+    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", U.redact_url(F.col("url")).alias("redacted"), U.url_problem(F.col("url")).alias("problem"))
+
+
+_IPS = {"93.184.216.34": True, "10.0.0.1": False, "127.0.0.1": False, "169.254.169.254": False, "224.0.0.1": False, "0.0.0.0": False, "::1": False, "fc00::1": False, "fe80::1": False, "::ffff:10.0.0.1": False, "2002:0a00:0001::1": False, "64:ff9b::0a00:0001": False, "64:ff9b::5db8:d822": True, "2606:2800:220:1::1": True, "not an ip": False}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _IPS.items()) + ") AS t(ip, safe)")
+def ip_guard(spark, sf_dir):
+    return spark.createDataFrame([(k,) for k in _IPS], "ip string").select("ip", U.is_safe_ip(F.col("ip")).alias("safe"))
+
+
+@query("SELECT * FROM (VALUES ('text/html; charset=utf-8', 'gzip, br', true, 'br'), ('TEXT/HTML', 'GZIP', true, ''), ('application/pdf', '', false, ''), (NULL, NULL, false, '')) AS t(content_type, encoding, html, undecodable)")
+def response_filters(spark, sf_dir):
+    rows = [("text/html; charset=utf-8", "gzip, br"), ("TEXT/HTML", "GZIP"), ("application/pdf", ""), (None, None)]
+    d = spark.createDataFrame(rows, "content_type string, encoding string")
+    return d.select("content_type", "encoding", X.content_type_matches(F.col("content_type"), ["text/html", "application/xhtml+xml"]).alias("html"), F.array_join(X.undecodable_encodings(F.col("encoding")), ",").alias("undecodable"))
+
+
+@query("SELECT doc_id, CASE WHEN length(x) > 300 THEN left(x, 300) || '…' ELSE x END AS clean FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x09\\x0B-\\x1F]', '', 'g'), '\\s+', ' ', 'g')) AS x FROM documents)")
+def sanitized_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.sanitize(F.col("text")).alias("clean"))
+
+
+# ---- selection ----------------------------------------------------------------------
+
+
+@query(f"WITH {Q.CHOSEN} SELECT site_id, pos, page_id, depth FROM c")
+def page_selection(spark, sf_dir):
+    return pages.select_pages(_pages(spark, sf_dir)).select("site_id", _long(F.col("pos")).alias("pos"), "page_id", _long(F.col("depth")).alias("depth"))
+
+
+_ANCHORS = r"list_transform(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=\x22([^\x22]*)\x22', 1), lambda h: h)"
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, len({_ANCHORS}) AS links, md5(array_to_string(list_transform({_ANCHORS}, lambda h: regexp_extract(url, '^[a-z]+://[^/?#]+') || h), ' ')) AS digest FROM p")
+def nav_links(spark, sf_dir):
+    p = _pages(spark, sf_dir).select("page_id", "url", H.page_features(F.col("html")).alias("f"))
+    links = p.select("page_id", "url", F.posexplode_outer(F.filter("f.anchors", lambda a: a["in_nav"])["href"]).alias("place", "href"))
+    joined = links.withColumn("u", U.url_join(F.col("url"), F.col("href"))["url"])
+    out = joined.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "u"))).alias("l"))
+    return out.select("page_id", _long(F.size("l.u")).alias("links"), F.md5(F.array_join("l.u", " ").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, CASE WHEN regexp_matches(lower(html), 'recaptcha|hcaptcha|captcha-delivery|g-recaptcha') THEN 'captcha' WHEN page_id % 5 = 1 THEN 'login_wall' WHEN page_id % 5 = 2 THEN 'bot_challenge' END AS kind FROM p")
+def blocked_kind(spark, sf_dir):
+    status = F.when(F.col("page_id") % 5 == 1, 401).when(F.col("page_id") % 5 == 2, 403).otherwise(200)
+    return _pages(spark, sf_dir).select("page_id", X.detect_blocked_kind(F.col("html"), status).alias("kind"))
+
+
+# ---- checks of a page -----------------------------------------------------------------
+
+
+def _page_checks(spark, sf_dir):
+    raw = _pages(spark, sf_dir)
+    for name, (kind, value) in {"status": ("int", 200), "page_status": ("string", "ok"), "blocked_kind": ("string", None), "x_robots_tag": ("string", None), "rendered_html": ("string", None), "geometry": (pages.GEOMETRY, None)}.items():
+        raw = raw.withColumn(name, F.lit(value).cast(kind))
+    return pages.with_features(raw.withColumn("pos", F.lit(0))).select("page_id", pages.page_row().alias("p"))
+
+
+def _state(spark, sf_dir, check):
+    return _page_checks(spark, sf_dir).select("page_id", check(F.col("p")).alias("r")).select("page_id", "r.state", "r.measurement")
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, length({Q.TITLE}) AS n FROM p) SELECT page_id, CASE WHEN n = 0 THEN 'fail' WHEN n BETWEEN 15 AND 70 THEN 'pass' ELSE 'partial' END AS state, n::VARCHAR AS measurement FROM t")
+def title_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.title_descriptive)
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, length({Q.meta('name', 'description')}) AS n FROM p) SELECT page_id, CASE WHEN n = 0 THEN 'fail' WHEN n BETWEEN 50 AND 160 THEN 'pass' ELSE 'partial' END AS state, n::VARCHAR AS measurement FROM t")
+def meta_description_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.meta_description)
+
+
+_LEVELS = "list_transform(regexp_extract_all(html, '<h([1-6])>', 1), lambda x: x::INT)"
+_SKIPS = "len(list_filter(range(2, len(l) + 1), lambda i: l[i] - l[i - 1] > 1))"
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, {_LEVELS} AS l FROM p) SELECT page_id, CASE WHEN len(l) = 0 THEN 'fail' WHEN {_SKIPS} = 0 AND len(list_filter(l, lambda x: x = 1)) = 1 THEN 'pass' ELSE 'partial' END AS state, len(l)::VARCHAR AS measurement FROM t")
+def heading_hierarchy_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.heading_hierarchy)
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, {_LEVELS} AS l FROM p) SELECT page_id, len(l) AS headings, {_SKIPS} AS skips FROM t WHERE len(l) > 0")
+def heading_skips(spark, sf_dir):
+    """The same rule as a window over exploded headings."""
+    from pyspark.sql import Window
+
+    h = _page_checks(spark, sf_dir).select("page_id", F.posexplode("p.f.headings.level").alias("place", "level"))
+    before = F.lag("level").over(Window.partitionBy("page_id").orderBy("place"))
+    return h.withColumn("skip", (F.col("level") - before > 1).cast("int")).groupBy("page_id").agg(F.count("*").alias("headings"), F.coalesce(F.sum("skip"), F.lit(0)).cast("long").alias("skips"))
+
+
+_ITEMS = r"(len(list_filter(regexp_extract_all(html, '<ul>(.*?)</ul>', 1, 's'), lambda b: len(regexp_extract_all(b, '<li>')) >= 2)) + len(list_filter(regexp_extract_all(html, '<table>(.*?)</table>', 1, 's'), lambda b: len(regexp_extract_all(b, '<tr>')) >= 2)) + len(list_filter(regexp_extract_all(html, '<dl>(.*?)</dl>', 1, 's'), lambda b: len(regexp_extract_all(b, '<dt>')) >= 2)))"
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, {_ITEMS} AS n FROM p) SELECT page_id, CASE WHEN n >= 1 THEN 'pass' ELSE 'fail' END AS state, n::VARCHAR AS measurement FROM t")
+def scannable_blocks_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.scannable_blocks)
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, list_filter(['article', 'aside', 'footer', 'header', 'main', 'nav'], lambda t: contains(html, '<' || t || '>')) AS l FROM p) SELECT page_id, CASE WHEN list_has_any(l, ['main', 'article']) THEN 'pass' WHEN len(l) > 0 THEN 'partial' ELSE 'fail' END AS state, array_to_string(l, ',') AS measurement FROM t")
+def semantic_html_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.semantic_html)
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, {Q.meta('name', 'viewport')} AS v FROM p) SELECT page_id, CASE WHEN v <> '' THEN 'pass' ELSE 'fail' END AS state, CASE WHEN v <> '' THEN v ELSE 'absent' END AS measurement FROM t")
+def viewport_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.viewport_meta)
+
+
+@query(f"WITH {Q.PAGES}, t AS (SELECT page_id, length({Q.visible('html')}) AS n FROM p) SELECT page_id, CASE WHEN n >= 500 THEN 'pass' WHEN n < 50 THEN 'fail' ELSE 'pass' END AS state, n::VARCHAR AS measurement FROM t")
+def content_without_js_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.content_without_js)
+
+
+_NAME = "regexp_extract(s, '([^/]*)$', 1)"
+
+
+@query(rf"""WITH {Q.PAGES}, i AS (SELECT page_id, unnest(regexp_extract_all(html, '<img src=\x22([^\x22]*)\x22', 1)) AS s FROM p)
+SELECT page_id, s AS src, NOT starts_with(s, 'data:') AND NOT regexp_matches(regexp_replace({_NAME}, '\.[^.]*$', ''), '[0-9a-f]{{12,}}') AND regexp_matches(' ' || regexp_replace({_NAME}, '\.[^.]*$', '') || ' ', '[^0-9a-fA-F]\d{{1,4}}[^0-9a-fA-F]') AND regexp_matches(regexp_replace({_NAME}, '\.[^.]*$', ''), '[A-Za-z]{{3,}}') AS is_data FROM i""")
+def data_filenames(spark, sf_dir):
+    i = _page_checks(spark, sf_dir).select("page_id", F.explode("p.f.images.src").alias("src"))
+    return i.select("page_id", "src", X.looks_like_data_filename(X.asset_filename(F.col("src"))).alias("is_data"))
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'partial' WHEN 5 THEN 'pass' ELSE 'not_applicable' END AS state, CASE page_id % 7 WHEN 1 THEN '1/3' WHEN 5 THEN '0/4' ELSE '0/0' END AS measurement FROM p")
+def image_facts_state(spark, sf_dir):
+    return _state(spark, sf_dir, checks.facts_not_image_only)
+
+
+# ---- sentences, words, names --------------------------------------------------------------
+
+
+_COUNTS = f"len({Q.sentences('text')}) AS sentences, len(list_filter({Q.sentences('text')}, lambda s: {Q.quotable('s', R.DANGLING_OPENERS)})) AS quotable"
+
+
+@query(f"SELECT doc_id, {_COUNTS} FROM documents")
+def quotable_sentences(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    c = checks.quotable_counts(F.col("text"), R.DANGLING_OPENERS)
+    return d.select("doc_id", c.alias("c")).select("doc_id", _long(F.col("c.sentences")).alias("sentences"), _long(F.col("c.quotable")).alias("quotable"))
+
+
+@query(f"SELECT lang, count(*) AS documents, sum(sentences)::BIGINT AS sentences, sum(quotable)::BIGINT AS quotable, sum(quotable)::DOUBLE / sum(sentences) AS ratio FROM (SELECT lang, {_COUNTS} FROM documents) GROUP BY lang")
+def doc_quotability_by_lang(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = d.select("lang", checks.quotable_counts(F.col("text"), R.DANGLING_OPENERS).alias("c"))
+    return d.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("c.sentences").alias("sentences"), F.sum("c.quotable").alias("quotable")).withColumn("ratio", F.col("quotable") / F.col("sentences"))
+
+
+@query(f"SELECT quality, count(*) AS documents, sum(quotable)::BIGINT AS quotable, sum(sentences)::BIGINT AS sentences FROM (SELECT quality, len({Q.sentences('text')}) AS sentences, len(list_filter({Q.sentences('text')}, lambda s: {Q.quotable('s', [])})) AS quotable FROM documents JOIN labels USING (doc_id)) GROUP BY quality")
+def doc_density_vs_label(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", checks.quotable_counts(F.col("text"), []).alias("c"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return d.join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("documents"), F.sum("c.quotable").alias("quotable"), F.sum("c.sentences").alias("sentences"))
+
+
+_FIRST = r"lower(regexp_replace(regexp_extract(s, '^\S+'), '^[,.:;]+|[,.:;]+$', '', 'g'))"
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({Q.sentences('text')}) AS s FROM documents) SELECT {_FIRST} AS opener, count(*) AS sentences, count(DISTINCT doc_id) AS documents FROM t WHERE list_contains({Q.quoted(R.DANGLING_OPENERS)}, {_FIRST}) GROUP BY 1")
+def dangling_openers(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(X.split_sentences(F.col("text"))).alias("s"))
+    opener = F.lower(F.regexp_replace(F.regexp_extract("s", r"^\S+", 0), r"^[,.:;]+|[,.:;]+$", ""))
+    return s.withColumn("opener", opener).filter(F.col("opener").isin(R.DANGLING_OPENERS)).groupBy("opener").agg(F.count("*").alias("sentences"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query(f"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({Q.quoted(R.FILLERS + ['the', 'to', 'of'])}, w))) AS hits FROM documents")
+def filler_hits(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _long(F.size(F.filter(words, lambda w: w.isin([*R.FILLERS, "the", "to", "of"])))).alias("hits"))
+
+
+@query("""SELECT doc_id, len(list_filter(range(2, len(t) + 1), lambda i: regexp_matches(t[i], '^\\p{Lu}\\p{Ll}{2,}$') AND regexp_matches(t[i - 1], '^\\p{Ll}'))) > 0 AS named
+FROM (SELECT doc_id, regexp_extract_all(text, '\\p{L}+|[.!?]') AS t FROM documents)""")
+def proper_nouns(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.has_proper_noun(F.col("text")).alias("named"))
+
+
+@query(f"SELECT doc_id, len(list_filter({Q.quoted(R.VAGUE_MARKERS + ['the of', 'de la', 'tion'])}, lambda m: contains(lower(text), m))) AS markers FROM documents")
+def vague_markers(spark, sf_dir):
+    m = X.lit_array([*R.VAGUE_MARKERS, "the of", "de la", "tion"])
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _long(F.size(F.filter(m, lambda x: F.contains(F.lower("text"), x)))).alias("markers"))
+
+
+_NAMES = [("Bakeshop", "Bakeshop | NE Portland Retail and Wholesale Bakery", True), ("Acme", "Contoso", False), ("デジタル庁", "デジタル庁", True), ("デジタル庁", "厚生労働省", False), ("Acme Inc.", "ACME, inc", True), ("Ελλάδα Α.Ε.", "Ελλάδα", True), ("Mary's Bakery – Leeds", "marys bakery", True), ("One", "Two · Three", False)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {})".format(a.replace("'", "''"), b.replace("'", "''"), str(v).lower()) for a, b, v in _NAMES) + ") AS t(a, b, agree)")
+def names_agree(spark, sf_dir):
+    d = spark.createDataFrame([(a, b) for a, b, _ in _NAMES], "a string, b string")
+    return d.select("a", "b", X.names_agree(F.col("a"), F.col("b")).alias("agree"))
+
+
+# ---- entities -------------------------------------------------------------------------------
+
+
+@query(rf"WITH {Q.PAGES}, m AS (SELECT page_id, unnest(regexp_extract_all(html, '<meta property=\x22(og:[a-z_]+)\x22', 1)) AS k, unnest(regexp_extract_all(html, '<meta property=\x22og:[a-z_]+\x22 content=\x22([^\x22]*)\x22', 1)) AS v FROM p) SELECT page_id, k, v FROM m")
+def opengraph_properties(spark, sf_dir):
+    return _page_checks(spark, sf_dir).select("page_id", F.explode(X.opengraph(F.col("p.f.metas"))).alias("k", "v"))
+
+
+@query(f"WITH {Q.PAGES} SELECT page_id, n, CASE WHEN n = 3 THEN 'pass' WHEN n > 0 THEN 'partial' ELSE 'fail' END AS state FROM (SELECT page_id, len(list_filter(['og:title', 'og:type', 'og:url'], lambda k: contains(html, '<meta property=\"' || k || '\"'))) AS n FROM p)")
+def og_identity(spark, sf_dir):
+    og = X.opengraph(F.col("p.f.metas"))
+    n = F.size(F.filter(X.lit_array(R.THRESHOLDS["entity.opengraph_identity"]["required"]), lambda k: F.element_at(og, k).isNotNull()))
+    return _page_checks(spark, sf_dir).select("page_id", _long(n).alias("n")).withColumn("state", F.when(F.col("n") == 3, "pass").when(F.col("n") > 0, "partial").otherwise("fail"))
+
+
+_LD = r"unnest(regexp_extract_all(html, '<script type=\x22application/ld\+json\x22>(.*?)</script>', 1, 's')) AS j"
+
+
+@query(f"""WITH {Q.PAGES}, b AS (SELECT page_id, {_LD} FROM p), g AS (SELECT page_id, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM b), n AS (SELECT page_id, j AS node FROM g WHERE j IS NOT NULL UNION ALL SELECT page_id, unnest(from_json(j->'$."@graph"', '["JSON"]')) FROM g WHERE json_exists(j, '$."@graph"'))
+SELECT page_id, count(*) AS nodes, count(node->>'$."@type"') AS typed, count(node->>'$.name') AS named, coalesce(sum(json_array_length(node->'$.sameAs')), 0)::BIGINT AS links FROM n GROUP BY page_id""")
+def jsonld_nodes(spark, sf_dir):
+    n = _page_checks(spark, sf_dir).select("page_id", F.explode("p.f.nodes").alias("n"))
+    return n.groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(F.size("n.types") > 0).alias("typed"), F.count_if(F.col("n.name") != "").alias("named"), F.sum(F.size("n.same_as")).cast("long").alias("links"))
+
+
+@query(f"""WITH {Q.PAGES} SELECT page_id, CASE WHEN contains(html, '"@type":"Organization"') THEN 'Northwind' WHEN contains(html, '"@type":"Dentist"') THEN 'Bright Smile' END AS name, CASE WHEN contains(html, '"@type":"Organization"') OR contains(html, '"@type":"Dentist"') THEN 1 ELSE 0 END::BIGINT AS identities FROM p""")
+def identity_entities(spark, sf_dir):
+    """The person behind an author reference is a third party; a type that no list names counts by its properties."""
+    ids = checks.identity_nodes(F.col("p.f.nodes"))
+    return _page_checks(spark, sf_dir).select("page_id", F.get(ids, F.lit(0))["name"].alias("name"), _long(F.size(ids)).alias("identities"))
+
+
+@query(f"""WITH {Q.PAGES} SELECT page_id, CASE WHEN contains(html, '"name":"Northwind"') THEN 2 WHEN contains(html, '"Dentist"') THEN 1 ELSE 0 END::BIGINT AS declared, CASE WHEN contains(html, 'rel="me"') THEN 1 ELSE 0 END::BIGINT AS rel_me FROM p""")
+def sameas_links(spark, sf_dir):
+    links = _page_checks(spark, sf_dir).select("page_id", checks.identity_links(F.col("p")).alias("l"))
+    return links.select("page_id", _long(F.size("l.declared")).alias("declared"), _long(F.size("l.rel_me")).alias("rel_me"))
+
+
+_LINKS = {"https://www.wikidata.org/wiki/Q1": ("authority", False), "https://en.wikipedia.org/wiki/X": ("authority", False), "https://m.facebook.com/acme": ("social", False), "https://www.facebook.com/sharer/sharer.php?u=https://x.example": ("social", True), "https://notfacebook.com/acme": ("other", False), "https://blog.example.org/a?x=1&url=http://b": ("other", True), "https://twitter.com/intent/tweet": ("social", True)}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', {str(s).lower()})" for k, (c, s) in _LINKS.items()) + ") AS t(url, kind, share)")
+def link_kinds(spark, sf_dir):
+    d = spark.createDataFrame([(k,) for k in _LINKS], "url string")
+    return d.select("url", checks.link_class(F.col("url")).alias("kind"), checks.is_share_link(F.col("url")).alias("share"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT page_id, {Q.HOST} AS host FROM pages), d AS (SELECT unnest({Q.quoted(['example.com', 'example.net'])}) AS domain)
+SELECT domain, count(*) AS pages, count(DISTINCT host) AS hosts FROM h JOIN d ON host = domain OR ends_with(host, '.' || domain) GROUP BY domain""")
+def domain_suffix_join(spark, sf_dir):
+    """A suffix match as an equi-join: hosts explode to their parent domains."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", U.host_of(F.col("url")).alias("host"))
+    d = spark.createDataFrame([("example.com",), ("example.net",)], "domain string")
+    return p.withColumn("domain", F.explode(U.host_suffixes(F.col("host")))).join(F.broadcast(d), "domain").groupBy("domain").agg(F.count("*").alias("pages"), F.countDistinct("host").alias("hosts"))
+
+
+@query(f"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(string_split(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '.'), lambda x: NOT list_contains({Q.quoted(U.HOST_STOPS)}, x)), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')), lambda x: length(x) >= 3))), ',') AS tokens FROM pages""")
+def brand_tokens(spark, sf_dir):
+    t = checks.brand_tokens(F.col("url"), F.array().cast("array<string>"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(F.array_sort(t), ",").alias("tokens"))
+
+
+# ---- the first screen ---------------------------------------------------------------------------
+
+
+@query()
+def fold_offsets(spark, sf_dir):
+    p = _pages(spark, sf_dir).select("page_id", H.page_features(F.col("html")).alias("f"))
+    return fold.fold_offsets(fold.explode_flow(p)).select("page_id", "place", "tag", "length", "cost", "offset")
+
+
+def _fold_state(spark, sf_dir, tags):
+    p = _page_checks(spark, sf_dir)
+    n = _long(F.size(checks.above_fold(F.col("p.f"), tags)))
+    return p.select("page_id", n.alias("n"), F.when(n > 0, "pass").otherwise("fail").alias("state"))
+
+
+@query()
+def headings_above_fold(spark, sf_dir):
+    return _fold_state(spark, sf_dir, ["h1", "h2", "h3"])
+
+
+@query()
+def cta_above_fold(spark, sf_dir):
+    return _fold_state(spark, sf_dir, ["a", "button"])
+
+
+_GEO = [
+    ("good", (800.0, 16.0, [("h1", 40.0)], [("a", 90.0)], [("div", 0.1)]), ("pass", "pass", "pass", "pass")),
+    ("deep", (800.0, 11.0, [("h1", 2400.0)], [("button", 100.0)], []), ("fail", "pass", "pass", "fail")),
+    ("covered", (800.0, 14.0, [("h1", 10.0)], [], [("div", 0.85), ("p", 0.2)]), ("pass", "fail", "fail", "pass")),
+    ("unmeasured", None, ("fail", "fail", "unknown", "unknown")),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(n, "', '".join(s)) for n, _, s in _GEO) + ") AS t(name, heading, cta, obstructed, legible)")
+def geometry_states(spark, sf_dir):
+    rows = []
+    for name, g, _ in _GEO:
+        geo = g and (g[0], 1280.0, g[1], "text", [(t, y, t, 20.0) for t, y in g[2]], [(t, y, t, 20.0) for t, y in g[3]], [(t, c, 0.0) for t, c in g[4]])
+        rows.append((name, "u", geo, None, "<html><body><p>text</p></body></html>"))
+    d = spark.createDataFrame(rows, f"name string, url string, geometry {pages.GEOMETRY}, blocked_kind string, html string")
+    p = F.struct("url", "geometry", "blocked_kind", H.page_features(F.col("html")).alias("f"))
+    d = d.select("name", p.alias("p"))
+    pick = {"heading": checks.heading_first_viewport, "cta": checks.primary_cta, "obstructed": checks.not_obstructed, "legible": checks.legibility}
+    return d.select("name", *[fn(F.col("p"))["state"].alias(k) for k, fn in pick.items()])
+
+
+# ---- resolution and scores over made-up states ------------------------------------------------------
+
+
+def _vectors(spark):
+    """(results, sites) of the made-up states."""
+    rows = spark.range(Q.SITES).withColumnRenamed("id", "i").join(F.broadcast(R.checks_frame(spark).select("check_id", "place")))
+    rows = rows.withColumn("site_id", F.concat(F.lit("s"), F.lpad(F.col("i").cast("string"), 4, "0"))).withColumn("state", F.expr(Q.STATE))
+    none = F.lit(None).cast("string")
+    results = rows.filter("state IS NOT NULL").select("site_id", "check_id", "state", none.alias("measurement"), none.alias("evidence"), none.alias("selector"), none.alias("page_url"), none.alias("reason"))
+    sites = spark.range(Q.SITES).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("site_id"), F.when(F.col("id") % 3 != 0, "en").otherwise("de").alias("language"), (F.col("id") % 40 == 7).alias("blocked_before_fetch"))
+    return results, sites
+
+
+def _resolved(spark):
+    results, sites = _vectors(spark)
+    return resolve.resolve_states(resolve.bind(results)[0], sites)
+
+
+@query(f"WITH {Q.RESOLVED} SELECT site_id, check_id, state, original_state, suppressed_by, reason FROM res")
+def resolve_states(spark, sf_dir):
+    return _resolved(spark).select("site_id", "check_id", "state", "original_state", "suppressed_by", "reason")
+
+
+@query(f"WITH {Q.SUMS} SELECT site_id, category, earned2, scored, verified, total, score, coverage FROM cs")
+def category_scores(spark, sf_dir):
+    return score.category_scores(_resolved(spark)).select("site_id", "category", "earned2", "scored", "verified", "total", "score", "coverage")
+
+
+@query(f"WITH {Q.SUMS} SELECT site_id, round(sum(score * 25) / sum(CASE WHEN score IS NOT NULL THEN 25 END), 6) AS overall, round(sum(coverage * 25) / 100, 6) AS coverage, round(coalesce(sum(verified)::DOUBLE / nullif(sum(scored), 0), 0), 6) AS confidence, sum(evaluated)::BIGINT AS checks_evaluated, sum(unknown)::BIGINT AS checks_unknown FROM cs GROUP BY site_id")
+def site_scores(spark, sf_dir):
+    s = score.site_scores(_resolved(spark))
+    return s.select("site_id", *[F.round(c, 6).alias(c) for c in ("overall", "coverage", "confidence")], "checks_evaluated", "checks_unknown")
+
+
+@query(f"WITH {Q.RESOLVED} SELECT category, coalesce(sum(weight * CASE state WHEN 'pass' THEN 2 WHEN 'partial' THEN 1 WHEN 'fail' THEN 0 END), 0)::BIGINT AS earned2, coalesce(sum(weight) FILTER (state IN ('pass', 'partial', 'fail')), 0)::BIGINT AS scored, count(*) AS checks FROM res GROUP BY ROLLUP (category)")
+def score_rollup(spark, sf_dir):
+    return score.score_rollup(_resolved(spark))
+
+
+@query(f"WITH {Q.FINDINGS} SELECT site_id, id, check_id, sev AS severity, pts AS points_recoverable FROM f")
+def findings(spark, sf_dir):
+    return report.findings(_resolved(spark)).select("site_id", "id", "check_id", "severity", "points_recoverable")
+
+
+@query(f"WITH {Q.FINDINGS} SELECT site_id, count(*) AS total_findings, count(*) FILTER (sev = 'critical') AS critical, count(*) FILTER (sev = 'high') AS high, count(*) FILTER (sev = 'medium') AS medium FROM f GROUP BY site_id")
+def severity_counts(spark, sf_dir):
+    return score.severity_counts(report.findings(_resolved(spark)))
+
+
+@query(f"WITH {Q.FINDINGS} SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY pts DESC, {Q.RANK}, id) AS rank, id AS finding_id, pts AS score_gain FROM f")
+def next_actions(spark, sf_dir):
+    return report.next_actions(report.findings(_resolved(spark))).select("site_id", _long(F.col("rank")).alias("rank"), "finding_id", "score_gain")
+
+
+_CAUSES = "CASE suppressed_by " + " ".join(f"WHEN '{c.check_id}' THEN 'blocked by an earlier problem: {c.failure_title.lower()}'" for c in R.CHECKS.values()) + " END"
+_CODES = "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.REASON_TEXT.items()) + " ELSE reason END"
+
+
+@query(f"""WITH {Q.SUMS}, w AS (SELECT r.site_id, r.category, list_sort(list_distinct(list({_CAUSES}) FILTER (suppressed_by IS NOT NULL))) AS a, list_sort(list_distinct(list({_CODES}) FILTER (suppressed_by IS NULL AND reason IS NOT NULL))) AS b FROM res r GROUP BY ALL)
+SELECT site_id, category, coverage, array_to_string(list_slice(list_concat(coalesce(a, []), coalesce(b, [])), 1, 5), '; ') AS reasons FROM cs JOIN w USING (site_id, category) WHERE coverage < 0.5""")
+def not_checked(spark, sf_dir):
+    r = _resolved(spark)
+    return report.not_checked(r, score.category_scores(r)).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query(f"WITH {Q.SUMS} SELECT site_id, category, CASE WHEN score IS NULL OR coverage < 0.5 THEN '{R.UNMEASURED}' WHEN score >= 85 THEN 'Well prepared' WHEN score >= 60 THEN 'Partly prepared' ELSE 'Poorly prepared' END AS verdict FROM cs")
+def verdict_bands(spark, sf_dir):
+    return score.category_scores(_resolved(spark)).select("site_id", "category", report.verdict(F.col("score"), F.col("coverage")).alias("verdict"))
+
+
+@query("SELECT 's' || lpad(CAST(i AS VARCHAR), 4, '0') AS site_id, CASE WHEN i % 40 = 7 THEN 'blocked' WHEN i % 5 = 1 THEN 'blocked' WHEN i % 5 = 2 THEN 'budget' WHEN i % 7 = 3 THEN 'analyzer_failed' WHEN i % 7 = 4 THEN 'render_failed' WHEN i % 5 = 3 THEN 'fetch_failed' END AS partial_reason FROM range(240) AS r(i)")
+def partial_reason(spark, sf_dir):
+    _, sites = _vectors(spark)
+    i = F.substr("site_id", F.lit(2)).cast("int")
+    page = F.struct(F.when(i % 5 == 1, "blocked").when(i % 5 == 3, "error").otherwise("ok").alias("page_status"), F.when(i % 5 == 2, "budget").alias("skip_reason"))
+    errors = sites.filter((i % 7).isin(3, 4)).select("site_id", F.when(i % 7 == 3, "analyze").otherwise("render").alias("stage"))
+    return report.partial_reason(sites.withColumn("pages", F.array(page)), _resolved(spark).filter("original_state <> 'unknown'"), errors)
+
+
+# ---- the whole audit ---------------------------------------------------------------------------------
+
+
+@query()
+def check_results(spark, sf_dir):
+    return A.audit(_pages(spark, sf_dir)).results
+
+
+@query()
+def site_scorecard(spark, sf_dir):
+    return report.scorecard(A.audit(_pages(spark, sf_dir)).resolved)
+
+
+@query()
+def full_report(spark, sf_dir):
+    return A.full_report(_pages(spark, sf_dir)).select("site_id", F.to_json("report").alias("report"))
+
+
+_HOMES = f"{Q.CHOSEN}, h AS (SELECT *, page_id % 7 AS k FROM c WHERE pos = 0)"
+
+
+@query(f"WITH {_HOMES} SELECT site_id, {Q.LANG} AS language, CASE WHEN contains({Q.ROBOTS}, 'noindex') THEN 'fail' ELSE 'pass' END AS indexable, CASE WHEN {Q.meta('name', 'viewport')} <> '' THEN 'pass' ELSE 'fail' END AS viewport FROM h")
+def homepage_states(spark, sf_dir):
+    r = A.audit(_pages(spark, sf_dir)).results
+    pick = lambda c: F.max(F.when(F.col("check_id") == c, F.col("state")))
+    return r.groupBy("site_id").agg(F.max("language").alias("language"), pick("access.indexable").alias("indexable"), pick("orientation.viewport_meta").alias("viewport"))
+
+
+_ORG = """bool_or(contains(html, '"@type":"Organization"') OR contains(html, '"@type":"Dentist"'))"""
+
+
+@query(f"""WITH {Q.CHOSEN} SELECT site_id, CASE WHEN {_ORG} THEN 'pass' ELSE 'fail' END AS structured, CASE WHEN {_ORG} THEN 'pass' WHEN bool_or(contains(html, 'og:site_name') OR (contains(html, 'og:title') AND contains(html, 'og:url'))) THEN 'partial' ELSE 'fail' END AS organization,
+CASE WHEN {_ORG} THEN 'pass' ELSE 'fail' END AS same_as, CASE arg_min(CASE WHEN contains(html, 'wikidata.org') THEN 'pass' WHEN contains(html, '"Dentist"') THEN 'partial' END, pos) WHEN 'pass' THEN 'pass' WHEN 'partial' THEN 'partial' ELSE 'fail' END AS authority FROM c GROUP BY site_id""")
+def entity_states(spark, sf_dir):
+    """Checks over all pages of a site: the first page that decides."""
+    r = A.audit(_pages(spark, sf_dir)).results
+    pick = lambda c: F.max(F.when(F.col("check_id") == c, F.col("state")))
+    return r.groupBy("site_id").agg(pick("entity.structured_data_present").alias("structured"), pick("entity.organization_declared").alias("organization"), pick("entity.sameas_present").alias("same_as"), pick("entity.sameas_authority").alias("authority"))
+
+
+# ---- advice -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_HOMES} SELECT site_id, CASE WHEN k = 1 THEN 'Northwind' WHEN k = 3 THEN 'Bright Smile' WHEN k = 2 THEN 'Contoso' WHEN k = 4 THEN 'Fabrikam' END AS brand, url AS site_url FROM h WHERE k IN (1, 2, 3, 4)")
+def observed_values(spark, sf_dir):
+    s = A.audit(_pages(spark, sf_dir)).sites
+    v = advise.observed_values(F.get("pages", F.lit(0)), F.col("url"))
+    out = s.select("site_id", F.element_at(v, "BRAND_NAME").alias("brand"), F.element_at(v, "SITE_URL").alias("site_url"))
+    return out.filter(F.col("brand").isin("Northwind", "Bright Smile", "Contoso", "Fabrikam"))
+
+
+_FILLS = [("Hello {{A}} and {{B}}, {{A}}", "Hello x and {{B}}, x"), ("none", "none"), ("{{C}}", "{{A}}"), ("{{D}}{{A}}", "{{D}}x")]
+
+
+@query("SELECT * FROM (VALUES ('Hello {{A}} and {{B}}, {{A}}', 'Hello x and {{B}}, x', '{{B}}'), ('none', 'none', ''), ('{{C}}', '{{A}}', ''), ('{{D}}{{A}}', '{{D}}x', '{{D}}')) AS t(template, filled, remaining)")
+def template_fill(spark, sf_dir):
+    """One pass: the value of C holds a placeholder and is not filled again."""
+    d = spark.createDataFrame([(t,) for t, _ in _FILLS], "template string")
+    v = F.create_map(F.lit("A"), F.lit("x"), F.lit("C"), F.lit("{{A}}"), F.lit("D"), F.lit(""))
+    return d.select("template", X.fill(F.col("template"), v).alias("filled"), F.array_join(X.placeholders_left(F.col("template"), v), ",").alias("remaining"))
+
+
+@query()
+def corrective_advice(spark, sf_dir):
+    a = A.audit(_pages(spark, sf_dir))
+    return advise.corrective(report.findings(a.resolved), a.sites)
+
+
+@query(f"WITH {_HOMES} SELECT site_id, CASE k WHEN 0 THEN 2 END AS faq_schema, CASE k WHEN 1 THEN NULL WHEN 5 THEN 2 END AS image_facts_with_alt, CASE WHEN k = 2 AND {Q.LANG} = 'en' THEN 8 END AS facts_in_prose FROM h")
+def detectors(spark, sf_dir):
+    d = advise.detections(A.audit(_pages(spark, sf_dir)).sites)
+    pick = lambda c: F.max(F.when(F.col("detector") == c, F.col("measurement")))
+    return d.groupBy("site_id").agg(*[pick(c).alias(c) for c in ("faq_schema", "image_facts_with_alt", "facts_in_prose")])
+
+
+@query()
+def recommendations(spark, sf_dir):
+    a = A.audit(_pages(spark, sf_dir))
+    return advise.recommendations(a.sites, a.resolved)
+
+
+@query()
+def suppressed_detectors(spark, sf_dir):
+    a = A.audit(_pages(spark, sf_dir))
+    return advise.suppressed_detectors(a.sites, a.resolved)
+
+
+# ---- robots, sitemaps, quality -----------------------------------------------------------------------------
+
+
+_ROBOTS = [
+    ("allow all", 200, "User-agent: *\nAllow: /", True, True, ""),
+    ("two blocked", 200, "User-agent: GPTBot\nDisallow: /\n\nUser-agent: ClaudeBot\nDisallow: /\n\nUser-agent: *\nAllow: /", True, True, "ClaudeBot,GPTBot"),
+    ("auditor blocked", 200, "User-agent: PagescopeBot\nDisallow: /\n", False, True, ""),
+    ("missing", 404, None, True, True, ""),
+    ("broken", 503, None, False, False, ""),
+    ("unreachable", None, None, False, False, ""),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(a).lower()}, {str(d).lower()}, '{b}')" for n, _, _, a, d, b in _ROBOTS) + ") AS t(name, allowed, determinable, blocked)")
+def robots_matrix(spark, sf_dir):
+    d = spark.createDataFrame([(n, s, t) for n, s, t, *_ in _ROBOTS], "name string, status int, text string")
+    r = d.select("name", crawl.robots(F.col("status"), F.col("text"), F.lit("https://a.example/")).alias("r"))
+    return r.select("name", "r.allowed", "r.determinable", F.array_join(crawl.blocked_crawlers(F.col("r.ai")), ",").alias("blocked"))
+
+
+_SET = b'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/2</loc></url></urlset>'
+_INDEX = b"<sitemapindex><sitemap><loc>https://a.example/s1.xml</loc></sitemap></sitemapindex>"
+
+
+@query("SELECT * FROM (VALUES ('urlset', 'https://a.example/1,https://a.example/2', ''), ('index', '', 'https://a.example/s1.xml'), ('gzip', 'https://a.example/1,https://a.example/2', ''), ('malformed', '', ''), ('empty', '', '')) AS t(name, pages, children)")
+def sitemap_urls(spark, sf_dir):
+    import gzip
+
+    rows = [("urlset", bytearray(_SET)), ("index", bytearray(_INDEX)), ("gzip", bytearray(gzip.compress(_SET))), ("malformed", bytearray(b"<urlset><url>")), ("empty", None)]
+    d = spark.createDataFrame(rows, "name string, raw binary").select("name", crawl.sitemap(F.col("raw")).alias("s"))
+    return d.select("name", F.array_join("s.pages", ",").alias("pages"), F.array_join("s.children", ",").alias("children"))
+
+
+@query("SELECT * FROM (VALUES ('s', 'https://a.example/', 'homepage', 0), ('s', 'https://a.example/x', 'nav', 1), ('s', 'https://a.example/x/y', 'nav', 2), ('s', 'https://a.example/z', 'sitemap', 3)) AS t(site_id, url, source, pos)")
+def candidate_selection(spark, sf_dir):
+    """Deep, foreign and excluded candidates go; a URL of both sources stays once; the sitemap fills up."""
+    c = [("s", "https://a.example/x/y", "nav", 0), ("s", "https://a.example/x#top", "nav", 1), ("s", "https://a.example/x", "sitemap", 0), ("s", "https://www.a.example/a/b/c", "nav", 2), ("s", "https://b.example/", "nav", 3), ("s", "https://a.example/doc.pdf", "sitemap", 1), ("s", "https://a.example/z", "sitemap", 2), ("s", "https://a.example/", "nav", 4)]
+    candidates = spark.createDataFrame(c, "site_id string, url string, source string, place int")
+    return pages.select_candidates(candidates, spark.createDataFrame([("s", "https://a.example")], "site_id string, url string"))
+
+
+@query("SELECT * FROM (VALUES ('a', 2, 2, 2, 0, 1.0::DOUBLE, 1.0::DOUBLE), ('b', 2, 1, 1, 1, 0.5::DOUBLE, 0.5::DOUBLE), ('c', 0, 0, 1, 0, 1.0::DOUBLE, 1.0::DOUBLE), (NULL, 4, 3, 4, 1, 0.75::DOUBLE, 0.75::DOUBLE)) AS t(fixture, must_find, found, must_not_find, wrong, recall, precision)")
+def precision_recall(spark, sf_dir):
+    labels = spark.createDataFrame([("a", ["x", "y"], ["z", "w"]), ("b", ["x", "y"], ["z"]), ("c", [], ["x"])], "fixture string, must_find array<string>, must_not_find array<string>")
+    got = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"), ("a", "x")], "fixture string, check_id string")
+    return quality.precision_recall(labels, got)
+
+
+# ---- events: windows that the streaming mode uses, in batch form -----------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    return V.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 day")
+
+
+@query("SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '6 hours', ts), time_bucket(INTERVAL '6 hours', ts) - INTERVAL '6 hours']) AS s FROM events) GROUP BY ALL")
+def events_sliding(spark, sf_dir):
+    return V.sliding(spark.read.parquet(f"{sf_dir}/events.parquet"), "12 hours", "6 hours")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '6 hours' THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
+def events_session(spark, sf_dir):
+    return V.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "6 hours")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id, min(ts) AS ts FROM events GROUP BY user_id, event_type")
+def events_dedupe(spark, sf_dir):
+    return V.first_of_each(spark.read.parquet(f"{sf_dir}/events.parquet"))
