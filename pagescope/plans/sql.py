@@ -25,7 +25,7 @@ def sentences(text: str) -> str:
 
 def named_inside(s: str) -> str:
     """A capitalised word of three letters or more that does not begin the text or follow a sentence end and one space."""
-    return rf"regexp_matches(regexp_replace({s}, '[.!?]\s[A-Z]', '', 'g'), '^.+\b[A-Z][a-z]{{2,}}')"
+    return rf"regexp_matches(regexp_replace({s}, '[.!?]\s[A-Z]', '', 'g'), '(?s)^.+\b[A-Z][a-z]{{2,}}')"
 
 
 def quotable(s: str, openers: list[str]) -> str:
@@ -68,19 +68,19 @@ _STATES_CTE = f"""
 dim AS (SELECT * FROM {R.checks_sql()}),
 v AS (SELECT 's' || lpad(CAST(i AS VARCHAR), 4, '0') AS site_id, d.*, {STATE} AS measured, i % 3 <> 0 AS gate, i % 40 = 7 AS blocked FROM range({SITES}) AS r(i) CROSS JOIN dim AS d),
 e AS (SELECT *, CASE WHEN blocked THEN 'blocked' WHEN requires_language AND NOT gate THEN 'language_not_supported' END AS stop, coalesce(measured, 'unknown') AS own FROM v),
-r0 AS (SELECT *, CASE WHEN stop IS NULL THEN own ELSE 'unknown' END AS state, NULL::VARCHAR AS by FROM e WHERE level = 0),
+r0 AS (SELECT *, CASE WHEN stop IS NULL THEN own ELSE 'unknown' END AS state, NULL::VARCHAR AS cause FROM e WHERE level = 0),
 """
 
 
 def _level(n: int) -> str:
-    return f"""r{n} AS (SELECT e.*, CASE WHEN e.stop IS NOT NULL THEN 'unknown' WHEN b.by2 IS NOT NULL THEN 'unknown' ELSE e.own END AS state, CASE WHEN e.stop IS NULL THEN b.by2 END AS by
- FROM e LEFT JOIN (SELECT site_id, check_id, CASE WHEN state = 'fail' AND confidence_class = 'verified' THEN check_id ELSE by END AS by2 FROM r{n - 1}) AS b ON b.site_id = e.site_id AND b.check_id = e.prerequisite WHERE e.level = {n})"""
+    return f"""r{n} AS (SELECT e.*, CASE WHEN e.stop IS NOT NULL THEN 'unknown' WHEN b.cause2 IS NOT NULL THEN 'unknown' ELSE e.own END AS state, CASE WHEN e.stop IS NULL THEN b.cause2 END AS cause
+ FROM e LEFT JOIN (SELECT site_id, check_id, CASE WHEN state = 'fail' AND confidence_class = 'verified' THEN check_id ELSE cause END AS cause2 FROM r{n - 1}) AS b ON b.site_id = e.site_id AND b.check_id = e.prerequisite WHERE e.level = {n})"""
 
 
 _DEPTH = max(R.LEVELS.values())
 RESOLVED = _STATES_CTE + ",\n".join(_level(n) for n in range(1, _DEPTH + 1)) + ",\nr AS (" + " UNION ALL ".join(f"SELECT * FROM r{n}" for n in range(_DEPTH + 1)) + """),
-res AS (SELECT site_id, check_id, category, weight, severity, confidence_class, place, state, own AS original_state, by AS suppressed_by,
- CASE WHEN stop IS NOT NULL THEN stop WHEN by IS NOT NULL THEN 'suppressed_by_failed_prerequisite' WHEN measured IS NULL THEN 'not_measured' END AS reason FROM r)"""
+res AS (SELECT site_id, check_id, category, weight, severity, confidence_class, place, state, own AS original_state, cause AS suppressed_by,
+ CASE WHEN stop IS NOT NULL THEN stop WHEN cause IS NOT NULL THEN 'suppressed_by_failed_prerequisite' WHEN measured IS NULL THEN 'not_measured' END AS reason FROM r)"""
 SUMS = RESOLVED + """,
 cat AS (SELECT site_id, category, coalesce(sum(weight * CASE state WHEN 'pass' THEN 2 WHEN 'partial' THEN 1 WHEN 'fail' THEN 0 END), 0)::BIGINT AS earned2,
  coalesce(sum(weight) FILTER (state IN ('pass', 'partial', 'fail')), 0)::BIGINT AS scored,
