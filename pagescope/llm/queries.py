@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, ngram_join, secret_scan, substring_dedup, token_files, warc
+from pagescope.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, ngram_join, oracles, secret_scan, substring_dedup, token_files, warc
 from pagescope.llm.storage import shuffle_partitions, table
 
 
@@ -74,4 +74,10 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {}
+ORACLES = {
+    "op1_warc": oracles.WARC,
+    "op3_ngram_join": oracles.NGRAM_JOIN,
+    "op4_chat_format": oracles.CHAT_FORMAT,
+    "op5_decontaminate": oracles.DECONTAMINATE,
+    "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+}

@@ -37,6 +37,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH, AROUND = 48, 256
 #: Least share of a candidate's length that must remain as new bytes.
 NOVELTY = 0.8
+MIXED = 4
 #: Identifiers that prime every dictionary.
 IDENTIFIERS = (
     b"password passwd secret token api_key apikey access_key private_key public_key credential credentials bearer authorization "
@@ -60,6 +61,12 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(packer.compress(own)) - len(packer.compress(b""))) / max(1, len(own))
 
 
+def mixed(token: str) -> bool:
+    """Digits, capitals and small letters take turns at least MIXED times: words and numbers in words do not."""
+    kinds = [1 if c.isdigit() else 2 if c.isupper() else 3 for c in token if c.isalnum()]
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= MIXED
+
+
 def base_spans(text: str, data: bytes, low: bytes) -> list[Span]:
     """Spans of the three patterns; data: the text in UTF-8, low: in lower case."""
     found: list[Span] = []
@@ -90,7 +97,7 @@ def novel_spans(text: str, low: bytes, base: list[Span]) -> list[Span]:
             if any(s < m.end() and e > m.start() for s, _, e in base[at : at + 4]):
                 continue
             token = m.group()
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and novelty(text, m.start(), m.end()) >= NOVELTY:
+            if mixed(token) and novelty(text, m.start(), m.end()) >= NOVELTY:
                 found.append((m.start(), 3, m.end()))
     return found
 
