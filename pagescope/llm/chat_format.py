@@ -77,7 +77,7 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
         size = 1 << j
         long = F.col("length") > size
         upper = parts.filter(long).join(steps[j].select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("place") - size).alias("place"), (F.col("length") - size).alias("length"))
-        parts = parts.withColumn("length", F.least("length", F.lit(size).cast("long"))).unionByName(upper)
+        parts = storage.materialise(parts.withColumn("length", F.least("length", F.lit(size).cast("long"))).unionByName(upper), "reply-paths")
     return parts.select("tree", "leaf", "place", "node")
 
 
