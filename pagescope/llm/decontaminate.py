@@ -20,17 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagescope.llm.hashes import with_runs
+from pagescope.llm.hashes import folded, with_runs
 
 WINDOW, MOST_WINDOWS = 10, 100_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def normalised_words(text: Column) -> Column:
     """Array of words; empty for null."""
-    folded = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(folded, _APART), lambda w: w != "")
+    return F.filter(F.split(folded(F.coalesce(text.cast("string"), F.lit(""))), _APART), lambda w: w != "")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

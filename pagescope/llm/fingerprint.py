@@ -7,7 +7,7 @@ densification: each empty bin draws anew, independent of its neighbours). The
 fingerprint is the low BITS bits of each bin in hexadecimal. Two bins agree by
 chance in 2^-BITS of the cases, which the likeness takes out.
 
-Words are runs of anything but white space, A-Z in lower case. Defined cases: a
+Words are runs of anything but \\x20 and \\x09-\\x0D, A-Z in lower case. Defined cases: a
 text of fewer words than SHINGLE has one shingle, all its words; a text without
 words, or null, has a fingerprint of zeros; equal fingerprints have likeness 1;
 texts are read whole; rows of equal doc_id follow one another by text; an empty
@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagescope.llm.hashes import with_runs
+from pagescope.llm.hashes import folded, with_runs
 
 SHINGLE, BINS, BITS = 5, 128, 8
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _orders(bins: int) -> list[list[int]]:
@@ -39,8 +38,8 @@ def _orders(bins: int) -> list[list[int]]:
 
 
 def _words(text: Column) -> Column:
-    folded = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(folded, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(folded(F.coalesce(text.cast("string"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(text: Column) -> Column:
+    """A-Z in lower case, nothing else changed; for a text of ASCII alone that is its lower case, which is faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
 def joined(left: Column, right: Column, gap: int) -> Column:
-    """Hash of left[i] and right[i + gap] for each i that has both."""
-    n = F.size(right) - gap
-    return F.when(n > 0, F.zip_with(F.slice(left, F.lit(1), F.greatest(n, F.lit(1))), F.slice(right, F.lit(gap + 1), F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    """Hash of left[i] and right[i + gap]; the last entries, which lack the right one, have no meaning."""
+    return F.zip_with(left, F.slice(right, F.lit(gap + 1), F.size(right)), lambda a, b: F.xxhash64(a, b))
 
 
 def word_hashes(words: Column) -> Column:
@@ -36,4 +43,5 @@ def with_runs(df, words: str, k: int, out: str, drop_words: bool = False):
     df = df.withColumn(f"{mark}h1", word_hashes(F.col(words)))
     for left, right, gap, name in run_plan(k):
         df = df.withColumn(f"{mark}{name}", joined(F.col(f"{mark}{left}"), F.col(f"{mark}{right}"), gap))
-    return df.withColumn(out, F.col(f"{mark}h{k}")).drop(*[c for c in df.columns if c.startswith(mark)], *([words] if drop_words else []))
+    whole = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    return df.withColumn(out, F.slice(f"{mark}h{k}", F.lit(1), whole)).drop(*[c for c in df.columns if c.startswith(mark)], *([words] if drop_words else []))
