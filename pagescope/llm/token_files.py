@@ -122,24 +122,23 @@ def unpack(data: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray, block:
     if blocks <= 0 or n == 0:
         return np.zeros(0, np.uint32)
     ids, sizes, bits = _table(lengths.tobytes())
-    raw = np.frombuffer(data, np.uint8)
-    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
-    at = offsets[first_block : first_block + blocks].copy()
+    low = int(offsets[first_block]) >> 3
+    high = int(offsets[first_block + blocks]) // 8 + 1 if first_block + blocks < len(offsets) else len(data)
+    raw = np.zeros(high - low + 8, np.uint32)
+    raw[: high - low] = np.frombuffer(data, np.uint8, high - low, low)
+    next_bits = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]  # 32 bits from each byte on
+    at = offsets[first_block : first_block + blocks] - 8 * low
     count = np.full(blocks, block, np.int64)
     if first_block + blocks == len(offsets):
         count[-1] = n - (len(offsets) - 1) * block
     out = np.zeros((block, blocks), np.uint32)
-    mask = np.uint64((1 << bits) - 1)
+    mask = np.uint32((1 << bits) - 1)
     live = blocks
     for step in range(int(count.max())):
         if step == count[-1]:
             live = blocks - 1
         p = at[:live]
-        byte = p >> 3
-        window = np.zeros(live, np.uint64)
-        for k in range(4):
-            window = (window << np.uint64(8)) | raw[byte + k].astype(np.uint64)
-        value = (window >> (32 - bits - (p & 7)).astype(np.uint64)) & mask
+        value = (next_bits[p >> 3] >> (32 - bits - (p & 7)).astype(np.uint32)) & mask
         out[step, :live] = ids[value]
         at[:live] += sizes[value]
     flat = out.T.ravel()
