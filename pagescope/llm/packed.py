@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Numbers that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -187,11 +187,11 @@ def _repeated(window: int):
     return work
 
 
-def compact(occurrences: DataFrame) -> DataFrame:
+def compact(occurrences: DataFrame, path: str | None = None) -> DataFrame:
     """row, edge, first, last -> row, path (its first edge here), first, last: a row for each stretch of a nonbranching path."""
     order = Window.partitionBy("row").orderBy("first", "last", "edge")
     near = F.lead("first").over(order) <= F.col("last")
-    steps = storage.materialise(occurrences.withColumn("next", F.when(near, F.lead("edge").over(order))), "edges")
+    steps = storage.materialise(occurrences.withColumn("next", F.when(near, F.lead("edge").over(order))), "linked-edges", path)
     ways = steps.filter("next IS NOT NULL").select("edge", "next").distinct()
     on = ways.groupBy("edge").agg(F.count("*").alias("ways"), F.min("next").alias("next")).filter("ways = 1")
     back = ways.groupBy("next").agg(F.count("*").alias("ways")).filter("ways = 1").select("next")
@@ -215,9 +215,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = storage.shuffle_partitions(spark)
     sent = _send_edges(with_row_keys(docs), window, buckets)
     found = packed.each_bucket(sent, buckets, _SENT, _repeated(window), "row long, edge long, first int, last int")
-    found = storage.materialise(found, "repeated-edges")
+    paths = [storage.new_path(spark, name) for name in ("repeated-edges", "linked-edges")]
+    found = storage.materialise(found, "", paths[0])
     storage.release_shuffles(spark)
-    return compact(found)
+    spans = storage.materialise(compact(found, paths[1]), "repeated-spans")
+    for path in paths:  # nothing reads them any more
+        storage.drop_path(spark, path)
+    storage.release_shuffles(spark)
+    return spans
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
