@@ -216,3 +216,23 @@ def placeholders_left(template: Column, values: Column) -> Column:
     keys = F.regexp_extract_all(F.coalesce(template, F.lit("")), F.lit(r"\{\{([A-Z0-9_]+)\}\}"), F.lit(1))
     open_keys = F.filter(keys, lambda k: F.coalesce(F.element_at(values, k), F.lit("")) == "")
     return F.array_distinct(F.transform(open_keys, lambda k: F.concat(F.lit("{{"), k, F.lit("}}"))))
+
+
+def is_blank_document(html: Column) -> Column:
+    """Fewer than 200 characters, or neither text nor a body."""
+    x = F.coalesce(html, F.lit(""))
+    return (F.length(x) < 200) | ((visible_text(x) == "") & ~F.contains(F.lower(x), F.lit("<body")))
+
+
+def is_nav_timeout(message: Column) -> Column:
+    """An error message of a navigation that ran out of time."""
+    return F.coalesce(F.lower(message).rlike("time(d )?out"), F.lit(False))
+
+
+def utc_stamp(at: Column) -> Column:
+    """RFC 3339 text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def user_agent(base: str, contact: str = "") -> str:
+    return f"{base} (+{contact})" if contact else base
