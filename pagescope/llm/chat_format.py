@@ -62,11 +62,11 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     steps = [storage.materialise(up, "reply-tree")]
     limit = max(1, int(steps[0].count())).bit_length() + 1
     while len(steps) <= limit and not steps[-1].filter(F.col("up").isNotNull()).isEmpty():
-        near = steps[-1]
-        far = near.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("length").alias("_length"))
-        both = near.join(far, ["tree", "up"], "left")
-        both = both.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length"))
-        steps.append(storage.materialise(both, "reply-tree"))
+        done, near = steps[-1].filter(F.col("up").isNull()), steps[-1].filter(F.col("up").isNotNull())
+        far = steps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("length").alias("_length"))
+        both = near.join(far, ["tree", "up"])  # a round joins only nodes that have not reached their root
+        both = both.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("length") + F.col("_length")).alias("length"))
+        steps.append(storage.materialise(done.unionByName(both), "reply-tree"))
     parents = nodes.select("tree", F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct()
     leaves = steps[-1].filter(F.col("up").isNull()).join(parents, ["tree", "node"], "left_anti")
     if best is not None:
