@@ -3,7 +3,8 @@
 Three patterns find what has a known shape. The method adds strings that follow a
 sensitive word and that zstandard, primed with identifiers and with the text
 around the string, cannot shorten: the bytes that such a string adds are measured
-against its length.
+against its length. Copies of the string in that text are blanked out first, so
+that a repeated key is judged as if it stood once.
 
 Spans are code points, end exclusive. Defined cases: a null or empty text has no
 spans; texts are scanned whole at any length; repeated rows give repeated rows;
@@ -33,6 +34,7 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 SENSITIVE = re.compile(r"(?i:password|passwd|secret|token|api_?key|credential|private_?key|bearer|authorization|access_?key)", re.ASCII)
 SENSITIVE_WORDS = (*ASSIGN_WORDS, b"credential", b"private", b"bearer", b"authorization", b"accesskey", b"access_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PARTS = (re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile(r"[A-Za-z0-9]{16,}"))
 #: Characters after a sensitive word in which a candidate begins; characters of surrounding text that prime the dictionary on each side.
 REACH, AROUND = 48, 256
 #: Least share of a candidate's length that must remain as new bytes.
@@ -52,9 +54,18 @@ _RUN = b"x" * 24
 Span = tuple[int, int, int]  # start, number of the kind, end
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """AROUND characters on each side of text[start:end], its copies and those of its parts that could be candidates blanked out."""
+    own, n = text[start:end], end - start
+    before, after = text[max(0, start - AROUND - n) : start], text[end : end + AROUND + n]  # a copy may reach over the edge
+    for part in (own, *PARTS[0].findall(own), *PARTS[1].findall(own)):
+        before, after = before.replace(part, " " * len(part)), after.replace(part, " " * len(part))
+    return before[-AROUND:] + "\n" + after[:AROUND]
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that text[start:end] adds to its surroundings and the identifiers, by its own length."""
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode("utf-8", "replace")
+    """Bytes that text[start:end] adds to its surroundings, without its own copies, and the identifiers, by its own length."""
+    around = surroundings(text, start, end).encode("utf-8", "replace")
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     own = text[start:end].encode("utf-8", "replace")

@@ -221,6 +221,14 @@ def test_secret_scan(spark):
     assert clean[0] == "é [SECRET] x" and clean[1] == "[SECRET]\"" and clean[6] == rows[6] and clean[7] is None
 
 
+def test_secret_scan_finds_repeated_keys():
+    key = "Zx81kQp0Vv72mNw4Hs63LtRb95YcGd27JfUeAo8K"
+    line = f"curl -H 'Authorization: Bearer {key}' https://a.example/\n"
+    for text, n in ((line * 2, 2), (line + "x " * 85 + line, 2), (line + f"curl https://a.example/?access_key={key}\n", 2), (line * 20, 20)):
+        spans = secret_scan.scan(text)[1]
+        assert len(spans) == n and key not in secret_scan.redact(text, spans)
+
+
 def test_token_files(docs):
     got = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json"), 2).collect(), key=lambda r: (r["doc_id"], r["start"]))
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
