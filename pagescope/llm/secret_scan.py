@@ -3,7 +3,8 @@
 Three patterns find what has a known shape. The method adds strings that follow a
 sensitive word and that zstandard, primed with identifiers and with the text
 around the string, cannot shorten: the bytes that such a string adds are measured
-against its length. Copies of the string in that text are blanked out first, so
+against those of a random string of its length and alphabet, since the entropy coder
+shortens long random strings too. Copies of the string in that text are blanked out first, so
 that a repeated key is judged as if it stood once.
 
 Spans are code points, end exclusive. Defined cases: a null or empty text has no
@@ -15,8 +16,10 @@ an output column is replaced.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -37,8 +40,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 PARTS = (re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile(r"[A-Za-z0-9]{16,}"))
 #: Characters after a sensitive word in which a candidate begins; characters of surrounding text that prime the dictionary on each side.
 REACH, AROUND = 48, 256
-#: Least share of a candidate's length that must remain as new bytes.
+#: Least share of the bytes of a random string that must remain as new bytes.
 NOVELTY = 0.8
+#: Alphabets of keys by size; signs of a candidate beside them; random strings drawn for a length; the length from which bytes grow in proportion.
+_LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (_DIGITS, _DIGITS + _LOW[:6], _DIGITS + _UP[:6], _LOW, _UP, _LOW + "234567", _UP + "234567", _LOW + _DIGITS, _UP + _DIGITS, _LOW + _UP, _LOW + _UP + _DIGITS)
+SIGNS, DRAWS, SETTLED = frozenset("+/_=-"), 4, 4096
 MIXED = 4
 #: Identifiers that prime every dictionary.
 IDENTIFIERS = (
@@ -63,13 +70,33 @@ def surroundings(text: str, start: int, end: int) -> str:
     return before[-AROUND:] + "\n" + after[:AROUND]
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Bytes that text[start:end] adds to its surroundings, without its own copies, and the identifiers, by its own length."""
-    around = surroundings(text, start, end).encode("utf-8", "replace")
+def added(own: bytes, around: bytes = b"") -> int:
+    """Bytes that a string adds to the identifiers and what stands around it."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    own = text[start:end].encode("utf-8", "replace")
-    return (len(packer.compress(own)) - len(packer.compress(b""))) / max(1, len(own))
+    return len(packer.compress(own)) - len(packer.compress(b""))
+
+
+@lru_cache(maxsize=100_000)
+def needed(alphabet: str, n: int) -> float:
+    """Bytes that random strings of n characters of an alphabet add to the identifiers; from SETTLED characters on in proportion."""
+    if n > SETTLED:
+        return needed(alphabet, SETTLED) * n / SETTLED
+    r = random.Random(n)
+    return sum(added("".join(r.choices(alphabet, k=n)).encode()) for _ in range(DRAWS)) / DRAWS
+
+
+def alphabet_of(token: str) -> str:
+    """The smallest alphabet with all letters and digits of the token; signs between them do not count."""
+    own = set(token) - SIGNS
+    return next(a for a in ALPHABETS if own <= set(a))
+
+
+def novelty(text: str, start: int, end: int) -> float:
+    """Bytes that text[start:end] adds to its surroundings, without its own copies, and the identifiers, by what a random string of its length and alphabet adds."""
+    own = text[start:end]
+    around = surroundings(text, start, end).encode("utf-8", "replace")
+    return added(own.encode(), around) / max(1, needed(alphabet_of(own), end - start))
 
 
 def mixed(token: str) -> bool:

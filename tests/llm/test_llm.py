@@ -229,6 +229,15 @@ def test_secret_scan_finds_repeated_keys():
         assert len(spans) == n and key not in secret_scan.redact(text, spans)
 
 
+def test_secret_scan_finds_long_keys_of_small_alphabets():
+    r = random.Random(5)
+    for letters, sizes in (("0123456789ABCDEF", (64, 88, 256, 500)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (52, 172, 500)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (43, 300, 500))):
+        for n in sizes:
+            for _ in range(10):
+                text = f"authorization: Bearer {''.join(r.choices(letters, k=n))} end"
+                assert secret_scan.scan(text)[1] == [(22, 3, 22 + n)]
+
+
 def test_token_files(docs):
     got = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json"), 2).collect(), key=lambda r: (r["doc_id"], r["start"]))
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
