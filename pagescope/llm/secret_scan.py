@@ -7,7 +7,8 @@ against those of a random string of its length and alphabet, since the entropy c
 shortens long random strings too. Copies of the string in that text are blanked out first, so
 that a repeated key is judged as if it stood once.
 
-Spans are code points, end exclusive. Defined cases: a null or empty text has no
+Spans are code points, end exclusive. A candidate begins within REACH characters of
+a sensitive word and goes on to its own end at any length. Defined cases: a null or empty text has no
 spans; texts are scanned whole at any length; repeated rows give repeated rows;
 an empty table gives an empty table; other columns are kept, and one named like
 an output column is replaced.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +39,7 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 SENSITIVE = re.compile(r"(?i:password|passwd|secret|token|api_?key|credential|private_?key|bearer|authorization|access_?key)", re.ASCII)
 SENSITIVE_WORDS = (*ASSIGN_WORDS, b"credential", b"private", b"bearer", b"authorization", b"accesskey", b"access_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
 PARTS = (re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile(r"[A-Za-z0-9]{16,}"))
 #: Characters after a sensitive word in which a candidate begins; characters of surrounding text that prime the dictionary on each side.
 REACH, AROUND = 48, 256
@@ -117,26 +120,54 @@ def base_spans(text: str, data: bytes, low: bytes) -> list[Span]:
     return sorted(found)
 
 
+def apart(start: int, end: int, base: list[Span], at: int) -> Iterator[tuple[int, int]]:
+    """The parts of start to end of a candidate's least length that no base span covers; base spans before at end before start."""
+    while at < len(base) and base[at][0] < end:
+        s, _, e = base[at]
+        if s - start >= LEAST:
+            yield start, s
+        start, at = max(start, e), at + 1
+    if end - start >= LEAST:
+        yield start, end
+
+
+def pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates that begin within REACH of a sensitive word, each to its own end.
+
+    Words within a run that is already told give the piece up to the next word (of
+    LEAST characters at least), so that the work stays in proportion to the text.
+    """
+    words = [(w.start(), w.end()) for w in SENSITIVE.finditer(text)]
+    starts = [s for s, _ in words]
+    done = 0  # the end of the last run
+    for _, here in words:
+        limit = here + REACH
+        if here < done:
+            after = bisect_left(starts, here + LEAST)
+            stop = min(done, starts[after] if after < len(starts) else done)
+            if m := CANDIDATE.match(text, here, stop):
+                yield here, m.end()
+        here = max(here, done)
+        while m := CANDIDATE.search(text, here, min(len(text), limit + LEAST)):
+            here = done = CANDIDATE.match(text, m.start()).end()
+            yield m.start(), done
+
+
 def novel_spans(text: str, low: bytes, base: list[Span]) -> list[Span]:
     """Candidates near a sensitive word, apart from base spans, that the dictionary cannot shorten."""
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
     found: list[Span] = []
-    done, at = -1, 0
-    for word in SENSITIVE.finditer(text):
-        here = word.end()
-        while (m := CANDIDATE.search(text, here, min(len(text), word.end() + REACH + 512))) and m.start() <= word.end() + REACH:
-            here = m.end()
-            if m.start() <= done:
-                continue
-            done = m.start()
-            while at < len(base) and base[at][2] <= m.start():
-                at += 1
-            if any(s < m.end() and e > m.start() for s, _, e in base[at : at + 4]):
-                continue
-            token = m.group()
-            if mixed(token) and novelty(text, m.start(), m.end()) >= NOVELTY:
-                found.append((m.start(), 3, m.end()))
+    at = told = 0
+    for first, last in pieces(text):
+        if last <= told:
+            continue
+        while at < len(base) and base[at][2] <= first:
+            at += 1
+        for start, end in apart(first, last, base, at):
+            if mixed(text[start:end]) and novelty(text, start, end) >= NOVELTY:
+                found.append((start, 3, end))
+                told = max(told, end)
     return found
 
 

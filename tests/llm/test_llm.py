@@ -238,6 +238,22 @@ def test_secret_scan_finds_long_keys_of_small_alphabets():
                 assert secret_scan.scan(text)[1] == [(22, 3, 22 + n)]
 
 
+def test_secret_scan_keeps_long_keys_whole():
+    r = random.Random(3)
+    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1200))
+    assert secret_scan.scan(f"private_key blob {blob} end")[1] == [(17, 3, 1217)]
+    assert secret_scan.redact(f"x private_key {blob}", secret_scan.scan(f"x private_key {blob}")[1]) == "x private_key [SECRET]"
+    # a base span further on takes only its own part
+    text = f"bearer {blob[:700]}-{'ab12' * 8}-{blob[700:]}"
+    assert secret_scan.redact(text, secret_scan.scan(text)[1]) == "bearer [SECRET][SECRET][SECRET]"
+    # a word within a run: what follows it is judged apart
+    text = f"authorization: bearer_token_token_token_token_token_token_token={blob[:20]}"
+    assert blob[:20] not in secret_scan.redact(text, secret_scan.scan(text)[1])
+    text = f"bearer token internationalisation token {blob[:20]}"
+    assert secret_scan.redact(text, secret_scan.scan(text)[1]) == "bearer token internationalisation token [SECRET]"
+    assert secret_scan.scan("bearer" * 100_000)[1] == []
+
+
 def test_token_files(docs):
     got = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json"), 2).collect(), key=lambda r: (r["doc_id"], r["start"]))
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
