@@ -7,6 +7,12 @@ against those of a random string of its length and alphabet, since the entropy c
 shortens long random strings too. Copies of the string in that text are blanked out first, so
 that a repeated key is judged as if it stood once.
 
+zstandard cannot shorten a single long word or identifier either, so that only strings
+are measured that are mixed (digits, capitals and small letters take turns four times),
+all digits, or whose letters follow one another as in no words. Left out are strings
+under 16 characters, pass phrases of words, and digits with signs between them (dates)
+or with few letters that do not take turns.
+
 Spans are code points, end exclusive. A candidate begins within REACH characters of
 a sensitive word and goes on to its own end at any length. Defined cases: a null or empty text has no
 spans; texts are scanned whole at any length; repeated rows give repeated rows;
@@ -49,7 +55,8 @@ NOVELTY = 0.8
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = (_DIGITS, _DIGITS + _LOW[:6], _DIGITS + _UP[:6], _LOW, _UP, _LOW + "234567", _UP + "234567", _LOW + _DIGITS, _UP + _DIGITS, _LOW + _UP, _LOW + _UP + _DIGITS)
 SIGNS, DRAWS, SETTLED = frozenset("+/_=-"), 4, 4096
-MIXED = 4
+#: Turns between kinds of characters that make a string mixed; bits that letters of one kind must have on average after the letter before, and pairs to tell by.
+MIXED, SCATTERED, LEAST_PAIRS = 4, 4.8, 6
 #: Identifiers that prime every dictionary.
 IDENTIFIERS = (
     b"password passwd secret token api_key apikey access_key private_key public_key credential credentials bearer authorization "
@@ -58,6 +65,18 @@ IDENTIFIERS = (
     b"getElementById addEventListener application/json content-type text/html charset utf-8 https://www.example.com/index.html "
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 1111111111111111 xxxxxxxxxxxxxxxx"
 )
+#: Bits of each letter after each letter in words of source code and of four languages, a row of 26 hexadecimal digits for each first letter.
+_BITS = (
+    "95449758596343a5934366776936563877358267469446499957395738935a4468289563589a7a4675278928857647954647887a"
+    "47436568798453757334867579486633792aa477379455498a6a487727543a846447a446478a87298728983a766638a564598a68"
+    "5645555a9a844246954395a7a53a6828a84a58a825a7572a8a6a48662767398475668636684a79377527893a8387379855579a49"
+    "2586289839865733a857599a7a48433538496686479833668a797644866969644254a345455899387737864a8387348354587a5a"
+    "788788a888a676a885670888aa375527693a665546954467795a58472774396667548742487969386727942a966746a345587858"
+    "5456465a58934364a3439899a9288917783a9977479788878988277536a4399684389347996699463635963a956863a652887667"
+    "655646784a9544539533765976476817873aa6674aa6776a6a77"
+)
+PAIR_BITS = {a + b: int(_BITS[26 * i + j], 16) for i, a in enumerate(_LOW) for j, b in enumerate(_LOW)}
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEX_MAP = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 _RUN = b"x" * 24
 
@@ -108,6 +127,14 @@ def mixed(token: str) -> bool:
     return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= MIXED
 
 
+def scattered(token: str) -> bool:
+    """Only digits, or letters that follow one another as they do not in words: strings of one kind of characters, which do not take turns."""
+    if token.strip("=").isdigit():
+        return True
+    bits = [PAIR_BITS[a + b] for w in WORDS.findall(token) for w in [w.lower()] for a, b in zip(w, w[1:], strict=False)]
+    return len(bits) >= LEAST_PAIRS and sum(bits) >= SCATTERED * len(bits)
+
+
 def base_spans(text: str, data: bytes, low: bytes) -> list[Span]:
     """Spans of the three patterns; data: the text in UTF-8, low: in lower case."""
     found: list[Span] = []
@@ -165,7 +192,7 @@ def novel_spans(text: str, low: bytes, base: list[Span]) -> list[Span]:
         while at < len(base) and base[at][2] <= first:
             at += 1
         for start, end in apart(first, last, base, at):
-            if mixed(text[start:end]) and novelty(text, start, end) >= NOVELTY:
+            if (mixed(text[start:end]) or scattered(text[start:end])) and novelty(text, start, end) >= NOVELTY:
                 found.append((start, 3, end))
                 told = max(told, end)
     return found

@@ -254,6 +254,16 @@ def test_secret_scan_keeps_long_keys_whole():
     assert secret_scan.scan("bearer" * 100_000)[1] == []
 
 
+def test_secret_scan_finds_keys_of_one_kind():
+    r = random.Random(9)
+    keys = ["qzxjvkwpqmznbvxtrhgdlcfy", "WQZXJKVBNMPLRTYHGFDS", *("".join(r.choices("0123456789", k=n)) for n in (16, 20, 23))]
+    assert all(secret_scan.scan(f"bearer {k} x")[1] == [(7, 3, 7 + len(k))] for k in keys)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        assert sum(len(secret_scan.scan(f"bearer {''.join(r.choices(letters, k=24))} x")[1]) for _ in range(100)) >= 97
+    words = ["internationalisation", "Geschwindigkeitsbegrenzung", "constitutionnellement", "responsabilidades", "get_user_name_by_account", "CONTENT_SECURITY_POLICY", "/docs/reference/configuration/", "2024-01-15-10-30-00", "----------------------", "navigation-container-wrapper"]
+    assert [w for w in words if secret_scan.scan(f"the bearer of {w} x")[1]] == []
+
+
 def test_token_files(docs):
     got = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json"), 2).collect(), key=lambda r: (r["doc_id"], r["start"]))
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
