@@ -127,6 +127,12 @@ def blank_documents(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", X.is_blank_document(cut).alias("blank"))
 
 
+@query(f"WITH {Q.PAGES} SELECT page_id, length(html) < 200 OR ({Q.visible('html')} = '' AND NOT contains(lower(html), '<body')) AS blank FROM p")
+def blank_pages(spark, sf_dir):
+    """Every page by its own html; blank_documents cuts two thirds of them to reach all cases."""
+    return _pages(spark, sf_dir).select("page_id", X.is_blank_document(F.col("html")).alias("blank"))
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, event_type = 'view' AS late FROM events")
 def utc_stamps(spark, sf_dir):
     message = F.when(F.col("event_type") == "view", "Navigation timed out").otherwise("net error")
@@ -548,6 +554,17 @@ def observed_values(spark, sf_dir):
     return out.filter(F.col("brand").isin("Northwind", "Ann Writer", "Contoso", "Fabrikam"))
 
 
+_TITLE_BRAND = rf"nullif(left(trim(regexp_replace({Q.TITLE}, '\s[|–—\-:]\s.*$', '')), 120), '')"
+
+
+@query(f"WITH {_HOMES} SELECT site_id, CASE k WHEN 1 THEN 'Northwind' WHEN 2 THEN 'Contoso' WHEN 3 THEN 'Ann Writer' WHEN 4 THEN 'Fabrikam' ELSE {_TITLE_BRAND} END AS brand, url AS site_url FROM h")
+def observed_brands(spark, sf_dir):
+    """Every site, also those whose brand is the first part of the title; observed_values has only the brands of the overlay."""
+    s = A.audit(_pages(spark, sf_dir)).sites
+    v = advise.observed_values(F.get("pages", F.lit(0)), F.col("url"))
+    return s.select("site_id", F.element_at(v, "BRAND_NAME").alias("brand"), F.element_at(v, "SITE_URL").alias("site_url"))
+
+
 _FILLS = [("Hello {{A}} and {{B}}, {{A}}", "Hello x and {{B}}, x"), ("none", "none"), ("{{C}}", "{{A}}"), ("{{D}}{{A}}", "{{D}}x")]
 
 

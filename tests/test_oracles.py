@@ -46,3 +46,13 @@ def test_every_oracle_has_a_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_no_site_or_page_is_left_out(spark, duck):
+    run = lambda name: entry.queries()[name](spark, SF)
+    brands = {r["site_id"]: r["brand"] for r in run("observed_brands").collect()}
+    assert set(brands) == {r["site_id"] for r in run("page_selection").collect()}
+    some = {r["site_id"]: r["brand"] for r in run("observed_values").collect()}
+    assert some.items() < brands.items() and None not in brands.values()
+    assert run("blank_pages").count() == duck.execute("SELECT count(*) FROM pages").fetchone()[0]
