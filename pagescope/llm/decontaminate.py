@@ -99,6 +99,7 @@ def digest_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that hold no benchmark window. The dirty ids stay in a table, not on the driver."""
-    dirty = hits(docs.select("doc_id", "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"] == dirty["_dirty"], "left_anti")
+    """The rows, all columns, that hold no benchmark window, told by a hash of doc_id and text. The dirty keys stay in a table, not on the driver."""
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    dirty = hits(docs.select(key.alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    return docs.join(dirty, key == dirty["_dirty"], "left_anti")

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +71,14 @@ def class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set)."""
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text: equal rows have equal keys."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def signatures(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class (null for an empty set); row, the key, if keyed."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("row")) if keyed else _slim(docs)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -80,9 +86,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for h in shingle_sets(batch.column(1), k):
                 n.append(len(h))
                 names.append(class_of(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), *batch.columns[2:]], ["doc_id", "n_shingles", "class", *batch.schema.names[2:]])
 
-    return _slim(docs).mapInArrow(batches, "doc_id long, n_shingles long, class long")
+    return slim.mapInArrow(batches, "doc_id long, n_shingles long, class long" + (", row long" if keyed else ""))
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -394,20 +400,36 @@ def class_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Dat
     return _links_of_blocks(rows, percent, buckets)
 
 
+def _named(docs: DataFrame, signed: DataFrame, k: int, percent: int, least: Column, name: str) -> DataFrame:
+    """class and, as name, the least of the rows of all classes linked to it."""
+    groups = connected_components(class_links(docs, signed, k, percent)).withColumnRenamed("node", "class")
+    classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min(least).alias("least"))
+    classes = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return classes.join(classes.groupBy("component").agg(F.min("least").alias(name)), "component").select("class", name)
+
+
 def linked_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class, component_id (the smallest doc_id reachable by links, itself included)."""
     signed = storage.materialise(signatures(docs, k), "signatures")
-    groups = connected_components(class_links(docs, signed, k, percent)).withColumnRenamed("node", "class")
-    classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("class", "component_id")
-    out = signed.join(named, "class", "left")
+    out = signed.join(_named(docs, signed, k, percent, F.col("doc_id"), "component_id"), "class", "left")
     return out.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of one document, the one with the smallest doc_id, of each group; documents without words stay."""
-    groups = linked_groups(docs, k, percent)
-    away = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_away")).distinct()
-    return docs.join(away, docs["doc_id"] == away["_away"], "left_anti")
+    """All columns of one row of each group; rows without words stay.
+
+    The row with the smallest doc_id stays, one without doc_id only where no other is
+    in the group; of several with that doc_id the one with the smallest key, a hash of
+    doc_id and text, and of equal keys the one with the smallest other columns.
+    """
+    signed = storage.materialise(signatures(docs, k, keyed=True), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    told = signed.join(_named(docs, signed, k, percent, first, "stays"), "class")
+    away = told.filter("row <> stays.row").select(F.col("row").alias("_away")).distinct()
+    equal = storage.materialise(told.filter("row = stays.row").groupBy("row").count().filter("count > 1").select(F.col("row").alias("_away")), "equal-rows")
+    key = row_key(docs)
+    if equal.isEmpty():
+        return docs.join(away, key == away["_away"], "left_anti")
+    kept = docs.join(away.unionByName(equal), key == F.col("_away"), "left_anti")
+    again = docs.join(equal, key == F.col("_away")).groupBy("_away").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return kept.unionByName(again)

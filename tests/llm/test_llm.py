@@ -91,6 +91,18 @@ def test_ngram_join(docs, texts, k, percent, block, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == docs.columns
 
 
+def test_rows_are_kept_and_dropped_by_row(spark):
+    one, two, leak = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one, "x"), (1, one, "y"), (1, one + " z", "x"), (2, one, "x"), (None, one, "x"), (2, two, "x"), (None, two + " z", "x"), (None, "q r s t u v", "x"), (None, "q r s t u v", "x"), (4, None, "x"), (4, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in ngram_join.keep_one(d, 5, 80).collect()]
+    assert sum((r[1] or "").startswith("a0") for r in got) == 1 and all(r[0] == 1 for r in got if (r[1] or "").startswith("a0"))
+    assert sorted((r for r in got if not (r[1] or "").startswith("a0")), key=str) == sorted([(2, two, "x"), (None, "q r s t u v", "x"), (4, None, "x"), (4, None, "x")], key=str)
+    bench = spark.createDataFrame([("i", leak)], "item_id string, text string")
+    d = spark.createDataFrame([(1, "clean"), (1, leak), (None, leak), (None, "clean"), (2, leak), (3, None)], "doc_id long, text string")
+    assert sorted((tuple(r) for r in decontaminate.drop_contaminated(d, bench).collect()), key=str) == sorted([(1, "clean"), (None, "clean"), (3, None)], key=str)
+
+
 def test_ngram_join_empty(docs):
     assert ngram_join.linked_groups(docs.limit(0)).count() == 0
 
