@@ -6,14 +6,14 @@ decodes on its own from its bit offset; blocks decode side by side, each step
 taking one id of every block from a table over the next MAX_BITS bits.
 
 Defined cases: a null or empty text has only the end id; ids of documents are in
-ascending doc_id order, rows of equal doc_id one after the other; a null doc_id
-comes first; an empty table gives no file and no row; texts are encoded whole;
+ascending doc_id order, rows of equal doc_id one after the other in no set order;
+a null doc_id comes first and stays null; strings of special tokens in a text are
+those tokens, as in the plain call of the library; an empty table gives no file and no row; texts are encoded whole;
 columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 import zlib
@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescope.llm import storage
+from pagescope.llm.words import text_slices
 
 MAGIC = b"PSHUFF01"
 #: Longest code; ids in a block; ids after which a new file begins.
 MAX_BITS, BLOCK, FILE_IDS = 18, 512, 1 << 20
-#: Words that a worker remembers the ids of; then it starts anew. Bounds memory only.
-REMEMBERED = 300_000
+#: Pieces that a worker remembers the ids of; then it starts anew. Bounds memory only.
+REMEMBERED = 400_000
+#: Bytes of text split and given back at once.
+SLICE = 2 << 20
 
 
 # ---- code lengths -------------------------------------------------------------
@@ -152,106 +155,209 @@ def _table(lengths: bytes):
 
 # ---- files --------------------------------------------------------------------
 
-_HEADER = struct.Struct("<8sqqqqqq")  # magic; ids of the partition before this file; documents; ids; block; bytes of code lengths; bytes of bits
+_HEADER = struct.Struct("<8sqqqqqqqq")  # magic; part; ids of the part before this file; documents; those without doc_id, which come first; ids; block; bytes of code lengths; bytes of bits
+#: File of the ids before each part, as 64-bit integers: what a part's files add to have the place among all ids.
+STARTS = "starts.bin"
 
 
-def file_parts(before: int, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> list[bytes]:
+def file_parts(part: int, before: int, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> list[bytes]:
     bits, offsets = pack(ids, lengths, codes)
     book = zlib.compress(lengths.tobytes(), 6)
-    return [_HEADER.pack(MAGIC, before, len(doc_ids), len(ids), BLOCK, len(book), len(bits)), book, doc_ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), bits]
+    nulls = doc_ids.count(None)
+    known = np.array([0] * nulls + doc_ids[nulls:], "<i8")
+    return [_HEADER.pack(MAGIC, part, before, len(doc_ids), nulls, len(ids), BLOCK, len(book), len(bits)), book, known.tobytes(), sizes.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), bits]
 
 
 def parse_file(data: bytes):
-    """(ids before it, doc_ids, ids of each document, all ids) of a file."""
-    magic, before, docs, n, block, book, bits = _HEADER.unpack_from(data)
+    """(part, ids of the part before it, doc_ids as an Arrow array, ids of each document, all ids) of a file."""
+    magic, part, before, docs, nulls, n, block, book, bits = _HEADER.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = _HEADER.size
     lengths = np.frombuffer(zlib.decompress(data[at : at + book]), np.uint8)
     at += book
-    doc_ids = np.frombuffer(data, "<i8", docs, at)
+    doc_ids = pa.array(np.frombuffer(data, "<i8", docs, at), mask=np.arange(docs) < nulls)
     sizes = np.frombuffer(data, "<i8", docs, at + 8 * docs)
     at += 16 * docs
     blocks = -(-n // block)
     offsets = np.frombuffer(data, "<i8", blocks, at)
     body = data[at + 8 * blocks : at + 8 * blocks + bits]
     step = 4096
-    parts = [unpack(body, offsets, n, lengths, block, i, min(step, blocks - i)) for i in range(0, blocks, step)]
-    return before, doc_ids, sizes, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    found = [unpack(body, offsets, n, lengths, block, i, min(step, blocks - i)) for i in range(0, blocks, step)]
+    return part, before, doc_ids, sizes, np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
 # ---- tokens -------------------------------------------------------------------
 
 
-#: A word of one run of letters, then perhaps signs; letters for which the library's lower case and composition are Python's.
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"  # the library's lower case and composition of these are Python's
+_PIECES = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r {_LETTERS}0-9]+").findall
+_NOT_PLAIN = re.compile(f"[^\t-\r -~{_LETTERS}]").search
+_WORDS = re.compile("[^\t-\r ]+").findall
+
+#: Kinds of bytes; _LEAD begins the UTF-8 form of the letters beyond ASCII above.
+_BLANK, _LETTER, _DIGIT, _SIGN, _OTHER, _LEAD = 0, 1, 2, 3, 4, 0xC3
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    out[0x21:0x7F] = _SIGN
+    out[[0x20, *range(0x09, 0x0E)]] = _BLANK
+    out[48:58] = _DIGIT
+    out[[*range(65, 91), *range(97, 123), _LEAD]] = _LETTER
+    return out
+
+
+_KIND = _kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def plain_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case bytes, where each piece or run of blanks begins (and the end), and which texts are plain.
+
+    Pieces of a text that is not plain mean nothing.
+    """
+    n = len(buf)
+    low, kind = _LOWER[buf], _KIND[buf]
+    tail = np.flatnonzero(buf[:-1] == _LEAD) + 1
+    of = buf[tail]
+    kind[tail] = np.where((of == 0x97) | (of == 0xB7), _OTHER, _LETTER)  # the signs of multiplication and division
+    low[tail[of < 0x9F]] += 32
+    begins = np.empty(n + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:n])
+    begins[1:n] |= kind[1:] == _DIGIT
+    begins[offsets] = True
+    begins[0] = begins[n] = True
+    at = np.flatnonzero(begins[:n] & (buf == 39))  # an apostrophe that no sign precedes may begin 's, 're and the like
+    if len(at):
+        edge = np.zeros(n + 3, bool)
+        edge[offsets] = True
+        edge[n:] = True
+        ahead = np.append(low, np.zeros(2, np.uint8))
+        one, two = ahead[at + 1], ahead[at + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ~edge[at + 2] & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+        for found, size in ((short, 2), (long, 3)):
+            i = at[found & ~edge[at + 1]]
+            begins[i + 1] = False
+            begins[i + size] = True
+    plain = np.ones(len(offsets) - 1, bool)
+    plain[np.searchsorted(offsets, np.flatnonzero(kind == _OTHER), side="right") - 1] = False
+    return low, np.flatnonzero(begins), plain
+
+
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
 
 class WordTokenizer:
-    """A tokenizers file that lower-cases, drops white space and whose tokens end words.
+    """A tokenizers file that lower-cases, drops white space and whose tokens end pieces.
 
-    No piece crosses ASCII white space, so the library encodes each distinct word
-    once. A run of letters is a piece of its own whatever signs follow it; runs go to
-    the library many at a time, as one text, and word ends tell their ids apart.
+    The library splits a text into pieces (a run of letters, a digit, a run of signs)
+    and encodes each by itself, so a worker asks it for each distinct piece once. Plain
+    texts are split here; of others each word with another character is one piece. Runs
+    of letters go to the library many at a time, as one text, and piece ends tell their
+    ids apart. A text with a string of a special token goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if size < 1 << 16 else "<u4"
+        self.width = np.dtype(self.dtype).itemsize
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_runs(self, runs: list[str]) -> None:
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special) or b"(?!)").search
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number_of = _Numbers()
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Keeps the ids of new pieces, which are in the order of their numbers; blanks have none."""
+        texts = [p.decode() for p in pieces]
+        found: dict[str, np.ndarray] = {}
+        runs, others = [], []
+        for t in texts:
+            (runs if t.isalpha() and not _NOT_PLAIN(t) else others).append(t)
         for i in range(0, len(runs), 512):
             part = runs[i : i + 512]
-            ids = np.array(self._ids([" ".join(part)])[0], self.dtype)
+            ids = self._ids([" ".join(part)])[0]
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("a run of letters is more than one piece")
             at = 0
             for run, stop in zip(part, stops.tolist(), strict=True):
-                self.runs[run] = ids[at:stop].tobytes()
+                found[run] = ids[at:stop]
                 at = stop
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain, other = {}, []
-        for w in words:
-            text = w.decode()
-            if m := _PLAIN(text):
-                plain[w] = (m[1].lower(), m[2])
-            else:
-                other.append((w, text))
-        pieces = {x for run, _ in plain.values() if (x := run) not in self.runs}
-        self._learn_runs(list(pieces))
-        signs = list({x for _, x in plain.values() if x and x not in self.runs})
-        for x, ids in zip(signs, self._ids(signs), strict=True):
-            self.runs[x] = np.array(ids, self.dtype).tobytes()
-        for w, (run, sign) in plain.items():
-            self.words[w] = self.runs[run] + self.runs[sign] if sign else self.runs[run]
-        for (w, _), ids in zip(other, self._ids([t for _, t in other]), strict=True):
-            self.words[w] = np.array(ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of dtype."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
-        gc.disable()  # only references that count themselves; a look at all of them takes as long as the work
+        found.update(zip(others, self._ids(others), strict=True))
+        new = [found[t] for t in texts]
+        size = np.array([len(x) for x in new], np.int64)
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.concatenate([self.flat, *new])
+
+    def _lookup(self, pieces: pa.Array, per_text: np.ndarray) -> list[bytes]:
+        """Ids of texts that are per_text pieces each, one after the other."""
+        coded = pieces.dictionary_encode()
+        if len(self.number_of) > REMEMBERED:
+            self._forget()
+        _, places, data = coded.dictionary.buffers()
+        cuts = np.frombuffer(places, np.int64, len(coded.dictionary) + 1).tolist()
+        raw = data.to_pybytes() if data is not None else b""
+        distinct = [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+        known = len(self.number_of)
+        number = np.fromiter(map(self.number_of.__getitem__, distinct), np.int64, len(distinct))
         try:
-            self._learn({w for words in split for w in words if w not in self.words})
-        finally:
-            gc.enable()
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            self._learn([distinct[i] for i in np.flatnonzero(number >= known).tolist()])
+        except BaseException:
+            self._forget()  # numbers without ids must not stay in a worker that lives on
+            raise
+        number = number[coded.indices.to_numpy()]
+        size = self.size[number]
+        upto = np.append(0, np.cumsum(size))
+        ids = self.flat[np.repeat(self.begin[number] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        cuts = (upto[np.append(0, np.cumsum(per_text))] * self.width).tolist()
+        return [ids[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+
+    def _encode_other(self, text: str) -> bytes:
+        pieces = [p.encode() for word in _WORDS(text) for p in ([word] if _NOT_PLAIN(word) else _PIECES(word.lower()))]
+        return self._lookup(pa.array(pieces, pa.large_binary()), np.array([len(pieces)]))[0]
+
+    def encode(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """Ids of each text as little-endian integers of dtype, many texts at a time; a null is empty."""
+        for first, _, buf, offsets in text_slices(texts, SLICE):
+            if len(buf) == 0:
+                yield [b""] * (len(offsets) - 1)
+                continue
+            low, cuts, plain = plain_pieces(buf, offsets)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(low)])
+            place = np.searchsorted(cuts, offsets)
+            if not plain.all():  # their pieces are left out
+                use = np.repeat(plain, np.diff(place))
+                pieces = pieces.filter(pa.array(use))
+            ids = self._lookup(pieces, np.where(plain, np.diff(place), 0))
+            special = {int(np.searchsorted(offsets, m, side="right")) - 1 for m in self._special_places(buf)}
+            for i in {*np.flatnonzero(~plain).tolist(), *special}:
+                text = texts[first + i].as_py()
+                ids[i] = self._ids([text])[0].tobytes() if i in special else self._encode_other(text)
+            yield ids
+
+    def _special_places(self, buf: np.ndarray) -> Iterator[int]:
+        raw, m = buf.tobytes(), None
+        while m := self.special(raw, m.end() if m else 0):
+            yield m.start()
 
 
 @lru_cache(maxsize=1)
@@ -268,10 +374,10 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         coder = tokenizer(path)
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in coder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            at = 0
+            for ids in coder.encode(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+                at += len(ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, ids binary")
 
@@ -310,7 +416,7 @@ def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray, dtype: str)
                 name = f"tokens-{part:06d}-{len(names):05d}.bin"
                 n = np.array([len(x) // width for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), dtype)
-                storage.put_file(system, f"{root}/{name}", file_parts(before, np.array(doc_ids, np.int64), n, flat, lengths, codes))
+                storage.put_file(system, f"{root}/{name}", file_parts(part, before, doc_ids, n, flat, lengths, codes))
                 names.append(name)
                 sizes.append(len(flat))
                 before += len(flat)
@@ -318,7 +424,7 @@ def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray, dtype: str)
 
         for batch in it:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids.append(-1 if d is None else d)
+                doc_ids.append(d)
                 ids.append(x.as_py())
                 held += len(ids[-1]) // width
                 if held >= FILE_IDS:
@@ -329,21 +435,35 @@ def write_files(tokens: DataFrame, folder: str, lengths: np.ndarray, dtype: str)
     return tokens.mapInArrow(batches, "part int, file string, n_ids long")
 
 
-def read_files(spark: SparkSession, folder: str, files: DataFrame, starts: dict[int, int]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone; starts: ids before each partition."""
+def write_starts(files: DataFrame, folder: str) -> int:
+    """Writes the ids before each part into the folder, from a row a part; the number of parts."""
+    totals = dict(files.groupBy("part").agg(F.sum("n_ids")).collect())
+    size = np.zeros(max(totals, default=-1) + 1, np.int64)
+    size[list(totals)] = list(totals.values())
+    system, root = storage.open_folder(folder)
+    storage.put_file(system, f"{root}/{STARTS}", [(np.cumsum(size) - size).astype("<i8").tobytes()])
+    return len(totals)
+
+
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files that are named in the column file."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = storage.open_folder(folder)
+        starts = None
         for batch in it:
-            for part, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name in batch.column(0).to_pylist():
+                if starts is None:
+                    with system.open_input_file(f"{root}/{STARTS}") as f:
+                        starts = np.frombuffer(f.read(), "<i8")
                 with system.open_input_file(f"{root}/{name}") as f:
-                    before, doc_ids, sizes, ids = parse_file(f.read())
+                    part, before, doc_ids, sizes, ids = parse_file(f.read())
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts[part] + before + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts[part] + before + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "file").mapInArrow(batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file").mapInArrow(batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -351,15 +471,13 @@ def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = No
     spark = docs.sparkSession
     folder = folder or storage.new_path(spark, "token-files")
     coder = tokenizer(path)
-    tokens = storage.materialise(encode_ids(docs, path, end_id), "token-ids")
+    held = storage.new_path(spark, "token-ids")
+    tokens = storage.materialise(encode_ids(docs, path, end_id), "", held)
     vocabulary = max(coder.tokenizer.get_vocab_size(), end_id + 1)
     lengths = code_lengths(id_counts(tokens, vocabulary, coder.dtype))
     parts = storage.shuffle_partitions(spark)
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     files = storage.materialise(write_files(ordered, folder, lengths, coder.dtype), "token-index")
-    totals = dict(files.groupBy("part").agg(F.sum("n_ids")).collect())  # a row a partition
-    starts, at = {}, 0
-    for part in sorted(totals):
-        starts[part], at = at, at + totals[part]
-    files = files.repartition(max(1, min(len(totals), parts)), "file")
-    return read_files(spark, folder, files, starts)
+    storage.drop_path(spark, held)  # the files have them now
+    used = write_starts(files, folder)
+    return read_files(files.repartition(max(1, min(used, parts)), "file"), folder)

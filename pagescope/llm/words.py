@@ -104,8 +104,8 @@ def ngrams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, whole
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Splits an Arrow string array into (first row, end row, bytes, offsets) of about SLICE_BYTES each; nulls are empty.
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Splits an Arrow string array into (first row, end row, bytes, offsets) of about size bytes each; nulls are empty.
 
     A longer text makes a slice of its own.
     """
@@ -119,11 +119,11 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     if texts.null_count:  # a null's bytes, if any, do not count
         texts = pa.array(["" if v is None else v for v in texts.to_pylist()], pa.large_string())
-        yield from text_slices(texts)
+        yield from text_slices(texts, size)
         return
     at = 0
     while at < rows:
-        end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         end = min(max(end, at + 1), rows)
         yield at, end, buf[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
