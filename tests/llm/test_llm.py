@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -140,6 +141,55 @@ def test_substring_dedup(spark, texts, window):
     assert substring_dedup.digest_rows(d.limit(0)).count() == 0
 
 
+def removed(rows, window):
+    """What brute force removes: row -> (words, removed, kept)."""
+    ws = [words(t) for t in rows]
+    seen = collections.Counter(tuple(w[i : i + window]) for w in ws for i in range(len(w) - window + 1))
+    out = []
+    for w in ws:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        out.append((len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
+
+
+@pytest.mark.parametrize(("window", "letters"), [(35, 400), (12, 30), (8, 4), (6, 2)])
+def test_substring_dedup_of_patchworks(spark, window, letters):
+    """Texts pasted from parts of one another: branches, cycles, parts of paths, runs of one word."""
+    r = random.Random(window)
+    pool = [[str(r.randrange(letters)) for _ in range(150)] for _ in range(6)] + [["x"] * 90, ["x", "y"] * 60]
+    rows = []
+    for _ in range(120):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(pool)
+            i = r.randrange(len(p))
+            parts += [*p[i : i + r.randint(1, 80)], *(f"u{r.randrange(10**9)}" for _ in range(r.randint(0, 3)))]
+        rows.append(r.choice([" ", "\n", "  "]).join(parts))
+    rows += rows[:3]
+    d = spark.createDataFrame([(i if i % 5 else None, t, 1, "mine") for i, t in enumerate(rows)] + [(None, rows[0], 1, "mine")] * 2, "doc_id long, text string, a int, firsts string")
+    want = collections.Counter((i if i % 5 else None, *v) for i, v in enumerate(removed([*rows, rows[0], rows[0]], window)[: len(rows)])) + collections.Counter({(None, *removed([*rows, rows[0], rows[0]], window)[0]): 2})
+    assert collections.Counter(tuple(x) for x in substring_dedup.digest_rows(d, window).collect()) == want
+
+
+def test_substring_dedup_finds_spans_through_paths(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(200))
+    d = spark.createDataFrame([(1, text), (2, "a " + text), (3, text + " b")], "doc_id long, text string")
+    gone = lambda: {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest_rows(d).collect()}
+    assert gone() == {1: 200, 2: 200, 3: 200}
+    monkeypatch.setattr(substring_dedup, "compact", lambda found, window, path=None: found.select("a", "b", F.col("first").alias("run"), F.col("edge").alias("path"), "first", "last", F.lit(False).alias("shared"), F.lit(False).alias("speaks")))
+    assert all(n < 200 for n in gone().values())  # edges by themselves do not reach
+
+
+@pytest.mark.parametrize("window", [0, 5, 65_001])
+def test_substring_dedup_refuses_windows(docs, window):
+    with pytest.raises(ValueError):
+        substring_dedup.digest_rows(docs, window)
+    assert substring_dedup.reach_of(600) == 298
+
+
 def test_decontaminate(spark, docs, texts, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(texts[0].split()[20:45])), (2, "A"), (3, None), (4, ""), (5, "A"), (10, "1-2 3")], "item_id long, text string")
     split = lambda t: [w for w in "".join(c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in lower(t or "")).split(" ") if w]
@@ -276,18 +326,32 @@ def test_secret_scan_finds_keys_of_one_kind():
     assert [w for w in words if secret_scan.scan(f"the bearer of {w} x")[1]] == []
 
 
-def test_token_files(docs):
-    got = sorted(token_files.token_files(docs, P.path("word_bpe_49k.json"), 2).collect(), key=lambda r: (r["doc_id"], r["start"]))
+def test_token_files(spark, docs):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    at = 0
-    for r, (d, t) in zip(got, sorted((x["doc_id"], x["text"] or "") for x in docs.collect()), strict=True):
-        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
-        assert tuple(r) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    odd = ["a <|endoftext|> b<|startoftext|>", "É́ ΑΣ x\x1cy\xa0z\x85q 日本 it's 'llama I'LL ẞ ﬁ ½ ª 've'", "×÷ÀÖØÞßàÿ 'É's''s 1'2", "'", None, ""]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(None, "no id"), (None, "no id"), (3, "twice"), (-1, "less")]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("start", F.lit("mine"))
+    for d in (docs, more):
+        at, left = 0, collections.Counter((x["doc_id"], x["text"] or "") for x in d.collect())
+        place = lambda i: (i is not None, i)
+        got = sorted(token_files.token_files(d, P.path("word_bpe_49k.json"), 2).collect(), key=lambda r: r["start"])
+        assert [r["doc_id"] for r in got] == sorted((i for i, _ in left.elements()), key=place)
+        for r in got:
+            ids = {(i, t): [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in left if i == r["doc_id"]}
+            key = next(k for k, v in ids.items() if zlib.crc32(np.array(v, "<u4").tobytes()) == r["ids_crc32"])
+            assert (r["start"], r["n_tokens"]) == (at, len(ids[key]))
+            at += r["n_tokens"]
+            left -= collections.Counter([key])
+        assert not left
     assert token_files.token_files(docs.limit(0), P.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_pieces_are_the_library_s():
+    tok, coder, r = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_files.tokenizer(P.path("word_bpe_49k.json")), random.Random(4)
+    texts = ["".join(r.choice(c) for _ in range(r.randint(0, 30))) for c in ("''srtlvemd1 2-\t\nÀéABS&", "'stlve \x1c\x00×é日ΣA") for _ in range(3000)]
+    assert [np.frombuffer(x, coder.dtype).tolist() for part in coder.encode(pa.array(texts)) for x in part] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_huffman_codes():
     r = np.random.default_rng(5)
     for n, bits in ((1, 4), (2, 1), (200, 8), (3000, 14)):
