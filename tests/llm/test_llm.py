@@ -179,7 +179,7 @@ def test_substring_dedup_finds_spans_through_paths(spark, monkeypatch):
     d = spark.createDataFrame([(1, text), (2, "a " + text), (3, text + " b")], "doc_id long, text string")
     gone = lambda: {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest_rows(d).collect()}
     assert gone() == {1: 200, 2: 200, 3: 200}
-    monkeypatch.setattr(substring_dedup, "compact", lambda found, window, path=None: found.select("a", "b", F.col("first").alias("run"), F.col("edge").alias("path"), "first", "last", F.lit(False).alias("shared"), F.lit(False).alias("speaks")))
+    monkeypatch.setattr(substring_dedup, "compact", lambda found, window, folder=None: found.select("a", "b", F.col("first").alias("run"), F.col("edge").alias("path"), "first", "last", F.lit(False).alias("shared"), F.lit(False).alias("speaks")))
     assert all(n < 200 for n in gone().values())  # edges by themselves do not reach
 
 
@@ -269,6 +269,50 @@ def test_language_id(spark):
     assert language_id.identify(d.limit(0), model).count() == 0
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "xqzv kjwq zzxk vbnm qqwx jklz pvqx wxyz kkjq zxvq mnbv qzqz xwvk jqkx " * 8,
+]
+
+
+def test_language_id_on_whole_tables(spark):
+    """Held-out accuracy on rows that no label of was seen, rejection of languages never learned, clean rows kept."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(d)
+    rows = language_id.identify(d, model).collect()
+    told = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["lang"] and r["lang_pred"] != "und"]
+    assert len(told) > 200 and np.mean([r["lang"] == r["lang_pred"] for r in told]) >= 0.97
+    assert np.mean([r["rejected"] for r in rows if r["text"]]) < 0.01
+    away = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id long, text string")
+    assert all(r["rejected"] for r in language_id.identify(away, model).collect()) and language_id.keep_known(away, model).count() == 0
+    for i in range(0, 400, 37):  # the prediction by brute force: cosines with every centroid
+        text = rows[i]["text"] or ""
+        v, c = np.zeros(language_id.DIMS), language_id.counts(text)
+        if c:
+            v[c[0]] = np.log1p(c[1]) * model.idf[c[0]]
+            cos = model.table.T @ (v / np.linalg.norm(v))
+            assert rows[i]["lang_pred"] == model.langs[int(np.argmax(cos))] and abs(rows[i]["score"] - max(0, cos.max())) < 1e-4
+
+
+def test_clusters_are_kinds_not_odd_rows():
+    r = np.random.default_rng(2)
+    kinds = np.repeat(np.eye(3, 50), 40, 0) + r.random((120, 50)) * 0.1
+    odd = np.vstack([kinds, np.eye(50)[40:42]])
+    c, own = language_id._cluster((odd / np.linalg.norm(odd, axis=1, keepdims=True)).astype(np.float32), 3)
+    assert len(c) == 3 and np.bincount(own).min() >= 39
+    same = np.ones((9, 4), np.float32) / 2
+    assert len(language_id._cluster(same, 3)[0]) == 1
+
+
+def test_rare_labels_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 10)
+    rows = [(i, "the house and the thing", "en") for i in range(60)] + [(100 + i, f"junk {i}", f"junk{i}") for i in range(30)]
+    assert set(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == {"en"}
+
+
 def test_secret_scan(spark):
     key = "AKIA" + "ABCD1234EFGH5678"
     rows = [f"é {key} x", 'Token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "password: short", "passwd=abcdef", "0123456789abcdef01234567", "bearer Zx81kQp0Vv72mNw4 here", "the secret of a bakery is internationalisation2", None, "", "a" * 100_000 + " apikey:abcdefg1"]
@@ -387,6 +431,39 @@ def test_inflate_reads_members_and_monoliths():
         assert b"".join(warc.inflate(iter(chunks))) == b"".join(parts)
 
 
+def base_spans(text):
+    """The contract's patterns, by the letter."""
+    import re
+
+    found = [(m.start(), 0, m.end()) for m in re.finditer("((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return sorted(found)
+
+
+def test_secret_scan_base_spans_on_whole_tables(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    kinds = ("assign", "access", "hex")
+    for r in secret_scan.find_secrets(d.select("doc_id", "text")).collect():
+        want = base_spans(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in want) for i in range(3)]
+        said = [f"{kinds[k]}:{s}:{e}" for s, k, e in want]
+        assert r["base_sha256"] == sha(",".join(said)) and set(said) <= set(r["spans"].split(","))| {""}
+    assert secret_scan.find_secrets(d.select("doc_id", "text").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_secret_scan_recall_of_planted_keys(letters):
+    r = random.Random(len(letters))
+    for n in (20, 32, 64, 200, 1000, 2000):
+        found = 0
+        for i in range(40):
+            head = f"line {i} of the file: Authorization: Bearer "
+            found += any(s <= len(head) and e >= len(head) + n for s, _, e in secret_scan.scan(f"{head}{''.join(r.choices(letters, k=n))} and more")[1])
+        assert found >= 36, (letters, n, found)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, "d e a c b a e d c b a b"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
