@@ -13,16 +13,21 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label among itself and its neighbours,
     then the label of its label; the number of rounds grows with the logarithm of
-    the longest way for most graphs. Labels stay in tables.
+    the longest way for most graphs. Labels stay in tables, those of past rounds go.
     """
+    spark = links.sparkSession
+    links_at, at = storage.new_path(spark, "links"), storage.new_path(spark, "labels")
     both = links.filter("a <> b").select("a", "b")
-    both = storage.materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = storage.materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = storage.materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "", links_at)
+    labels = storage.materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "", at)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         new = labels.join(near, "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = storage.materialise(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "labels")
+        past, at = at, storage.new_path(spark, "labels")
+        new = storage.materialise(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "", at)
+        storage.drop_path(spark, past)
         if new.filter("label <> old").isEmpty():
+            storage.drop_path(spark, links_at)
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")

@@ -6,6 +6,7 @@ compressed, and survives the loss of any executor.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), a new one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a new one, and only if this machine runs all tasks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext.getCheckpointDir()
         if not set_dir:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             set_dir = "file://" + tempfile.mkdtemp(prefix="pagescope-")
             spark.sparkContext.setCheckpointDir(set_dir)
         found = set_dir
