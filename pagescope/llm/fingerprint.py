@@ -24,16 +24,17 @@ from pagescope.llm.hashes import folded, with_runs
 SHINGLE, BINS, BITS = 5, 128, 8
 
 
-def _orders(bins: int) -> list[list[int]]:
-    """For each bin the order, from a fixed linear generator, in which it asks the others; positions from 1."""
-    out, state = [], 0x2545F491
+def _ranks(bins: int) -> list[int]:
+    """For bin b at b * bins + p: which place bin p has in the order, from a fixed linear generator, in which b asks the others."""
+    out, state = [0] * (bins * bins), 0x2545F491
     for b in range(bins):
-        order = [i for i in range(1, bins + 1) if i != b + 1]
+        order = [i for i in range(bins) if i != b]
         for i in range(len(order) - 1, 0, -1):
             state = (state * 1103515245 + 12345) & 0x7FFFFFFF
             j = (state >> 8) % (i + 1)
             order[i], order[j] = order[j], order[i]
-        out.append(order)
+        for rank, p in enumerate(order):
+            out[b * bins + p] = rank
     return out
 
 
@@ -48,28 +49,53 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_w", _words(F.col(text)))
     df = with_runs(df, "_w", SHINGLE, "_h")
     df = df.withColumn("_h", F.when(F.size("_h") > 0, F.col("_h")).when(F.size("_w") > 0, F.array(F.xxhash64("_w")))).drop("_w")
-    # Smallest hash of each bin: with all hashes sorted, the first of each bin. Bins follow the signed order of hashes.
-    df = df.withColumn("_h", F.sort_array("_h"))
-    first = F.filter("_h", lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get("_h", i - 1), shift)))
-    df = df.withColumn("_h", first)
-    places = F.transform("_h", lambda h: (F.shiftright(h, shift) + BINS // 2).cast("int"))
-    df = df.withColumn("_p", places)
-    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get("_h", F.array_position("_p", b).cast("int") - 1))
-    df = df.withColumn("_b", F.when(F.size("_h") > 0, filled))
-    orders = F.lit([x for row in _orders(BINS) for x in row])
-    donor = lambda b: F.get(F.filter(F.transform(F.slice(orders, b * (BINS - 1) + 1, BINS - 1), lambda p: F.get("_b", p - 1)), lambda v: v.isNotNull()), F.lit(0))
-    dense = F.when(F.size("_h") == BINS, F.col("_b")).otherwise(F.transform("_b", lambda v, b: F.coalesce(v, donor(b))))
-    packed = F.array_join(F.transform(dense, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0")), "")
-    return df.withColumn(out, F.coalesce(packed, F.lit("0" * (BINS * BITS // 4)))).drop("_h", "_p", "_b")
+    # Smallest hash of each bin: with all hashes and the largest value of each bin sorted, the first of each bin.
+    # Bins follow the signed order of hashes; where the largest value is the first, the bin is empty.
+    ends = [((b - BINS // 2 + 1) << shift) - 1 for b in range(BINS)]
+    df = df.withColumn("_h", F.sort_array(F.concat("_h", F.lit(ends))))
+    df = df.withColumn("_h", F.filter("_h", lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get("_h", i - 1), shift))))
+    largest = F.lit((1 << shift) - 1)
+    empty = lambda h: h.bitwiseAND(largest) == largest
+    filled = F.filter(F.transform("_h", lambda h, i: F.struct(i.alias("p"), h.alias("h"))), lambda x: ~empty(x["h"]))
+    df = df.withColumn("_f", filled)
+    ranks = F.lit(_ranks(BINS))
+    donor = lambda b: F.array_min(F.transform("_f", lambda x: F.struct(F.get(ranks, b * BINS + x["p"]).alias("r"), x["h"].alias("h"))))["h"]
+    dense = F.when(F.size("_f") == BINS, F.col("_h")).otherwise(F.transform("_h", lambda h, b: F.when(empty(h), donor(b)).otherwise(h)))
+    low = F.lit([f"{v:0{BITS // 4}x}" for v in range(1 << BITS)])
+    packed = F.array_join(F.transform(dense, lambda h: F.get(low, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))), "")
+    return df.withColumn(out, F.coalesce(packed, F.lit("0" * (BINS * BITS // 4)))).drop("_h", "_f")
 
 
 def likeness(left: Column, right: Column) -> Column:
     """Estimate of the Jaccard similarity of two fingerprints, without the bins that agree by chance; 0 to 1."""
-    step, chance = BITS // 4, 2.0**-BITS
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substr(left, i * step + 1, F.lit(step)) == F.substr(right, i * step + 1, F.lit(step))))
+    chance = 2.0**-BITS
+    bins = lambda x: F.regexp_extract_all(x, F.lit(f"({'.' * (BITS // 4)})"), F.lit(1))
+    same = F.size(F.filter(F.zip_with(bins(left), bins(right), lambda a, b: a == b), lambda x: x))
     return F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
+def _apart(n: int) -> list[int]:
+    """n numbers that repartition(n, number) sends to n partitions, one each."""
+    found: dict[int, int] = {}
+    for i in range(1_000_000):
+        found.setdefault(_murmur3(i) % n, i)
+        if len(found) == n:
+            break
+    return [found[i] for i in sorted(found)]
+
+
+def _murmur3(value: int, seed: int = 42) -> int:
+    """Hash by which Spark deals an int, as a signed number."""
+    mask, rotate = 0xFFFFFFFF, lambda x, r: ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+    k = rotate(value * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h = (rotate(seed ^ k, 13) * 5 + 0xE6546B64) & mask
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def with_next(docs: DataFrame, columns: list[str], parts: int) -> DataFrame:
     """Adds next_<column>: the value of the next row in ascending doc_id, after the last the first.
 
@@ -88,6 +114,9 @@ def with_next(docs: DataFrame, columns: list[str], parts: int) -> DataFrame:
         before = {r["k"]: firsts[i - 1]["s"] for i, r in enumerate(firsts)}
         to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), key)
         rows = rows.unionByName(docs.filter(key.isin(list(before))).withColumn("_span", to).withColumn("_guest", F.lit(True)))
+    # A range a task: hashes of the ranges' numbers would fall together, so each has a number whose hash is its own.
+    keys = _apart(len(bounds) + 1)
+    rows = rows.withColumn("_span", F.element_at(F.lit(keys), F.col("_span") + 1)).repartition(len(keys), "_span")
     inside = Window.partitionBy("_span").orderBy("_guest", F.col("doc_id").asc_nulls_first(), *[F.col(c) for c in columns])
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(inside))
