@@ -6,13 +6,15 @@ fewer words, but not none, is one window. Every window of a training text is
 hashed by combining hashes of one, two, four and eight words; the set of benchmark
 hashes picks the places to verify, where the words themselves are compared.
 
-The set goes to the executors only up to MOST_WINDOWS windows; beyond that the
-same places come from a shuffled join on the hash.
+The set goes to the executors only up to MOST_WINDOWS windows. Beyond that hashes
+and places alone are shuffled and joined with the benchmark's, and only the places
+that are left return to their texts for the words; the tables joined lie in the
+shared folder, so that adaptive execution can split a hash that stands very often.
 
 Defined cases: a null or empty text has no words and no hit; a null item text has
-no window; equal items each count; texts are scanned whole; repeated rows of one
-doc_id are one document each only in `hits`, where they are told apart by a row
-number; empty tables give empty or clean results; other columns are not read.
+no window; equal items each count; texts are scanned whole; each row is a document
+of its own, whatever its doc_id, repeated or null; empty tables give empty or clean
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagescope.llm import storage
 from pagescope.llm.hashes import folded, with_runs
 
 WINDOW, MOST_WINDOWS = 10, 100_000
@@ -45,13 +48,19 @@ def _hash_of(windows: DataFrame, size: int) -> DataFrame:
 
 
 def _places(size: int, own: list[int] | None) -> Column:
-    """Windows of a text whose hash is among own, or all of them: size, at (from 1), hash, words."""
-    hashes = F.col(f"_at{size}")
-    if own is None:
-        at = F.transform(hashes, lambda _, i: i + 1)
-    else:
-        at = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(own), i + 1)), lambda i: i.isNotNull())
-    return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.element_at(hashes, i).alias("hash"), F.slice(F.col("w"), i, F.lit(size)).alias("words")))
+    """Windows of a text whose hash is among own, or all of them: size, at (from 1), hash."""
+    spots = F.transform(f"_at{size}", lambda h, i: F.struct(F.lit(size).alias("size"), (i + 1).alias("at"), h.alias("hash")))
+    return spots if own is None else F.filter(spots, lambda s: s["hash"].isin(own))
+
+
+def _near(found: DataFrame, hashed: DataFrame) -> DataFrame:
+    """Keeps of _spots those whose hash occurs in the benchmark, by joins; rows are told by two hashes of doc_id and words."""
+    keyed = found.withColumns({"_a": F.xxhash64("doc_id", "w"), "_b": F.hash("w", "doc_id")})
+    own = storage.materialise(hashed.select("size", "hash").distinct(), "benchmark-hashes")
+    spots = keyed.select("_a", "_b", F.explode("_spots").alias("s")).select("_a", "_b", "s.size", "s.at", "s.hash")
+    near = spots.join(own, ["size", "hash"], "left_semi").groupBy("_a", "_b").agg(F.collect_set(F.struct("size", "at", "hash")).alias("_near"))
+    out = keyed.drop("_spots").join(near, ["_a", "_b"], "left")
+    return out.select("doc_id", "n_words", "w", F.coalesce("_near", F.array().cast("array<struct<size:int,at:int,hash:bigint>>")).alias("_spots"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -78,11 +87,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         if small:  # the hashes that occur in the benchmark: a set of checked size
             own = [r["hash"] for r in hashed.filter(F.col("size") == size).select("hash").distinct().collect()]
         spots.append(_places(size, own))
-    found = found.select("doc_id", "n_words", F.concat(*spots).alias("_spots"))
+    found = found.select("doc_id", "n_words", "w", F.concat(*spots).alias("_spots"))
+    if not small:
+        found = _near(found, hashed)
+    spelled = F.transform("_spots", lambda s: F.struct(s["size"].alias("size"), s["at"].alias("at"), s["hash"].alias("hash"), F.slice(F.col("w"), s["at"], s["size"]).alias("words")))
+    found = found.select("doc_id", "n_words", spelled.alias("_spots"))
     keyed = found.withColumn("_row", F.monotonically_increasing_id())
     rows = keyed.select("doc_id", "n_words", "_row", F.explode_outer("_spots").alias("s")).select("doc_id", "n_words", "_row", "s.size", "s.at", "s.hash", F.col("s.words").alias("seen"))
     bench = hashed.groupBy("size", "hash", "words").agg(F.collect_set("item_id").alias("ids"))
-    bench = F.broadcast(bench) if small else bench
+    bench = F.broadcast(bench) if small else storage.materialise(bench, "benchmark-windows")
     rows = rows.join(bench.select(F.col("size").alias("_s"), F.col("hash").alias("_h"), "words", "ids"), (F.col("size") == F.col("_s")) & (F.col("hash") == F.col("_h")) & (F.col("seen") == F.col("words")), "left")
     spans = rows.groupBy("_row", "doc_id", "n_words").agg(
         F.collect_set(F.when(F.col("ids").isNotNull(), F.struct("at", "size"))).alias("spots"),
