@@ -121,16 +121,9 @@ class ByteBpe:
         self.whole = PerfectHash(tokens)
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.simple = pattern == SIMPLE_FOR
-        self.bytes_of: dict[str, bytes] = {}
-        self.id_text = _Memo(self._learn)
+        self.decimal = [str(i) for i in range(len(tokens))]
         self.packed = _Memo(lambda piece: np.array(self.piece_ids(piece.encode("utf-8", "replace")), "<i4").tobytes())
 
-    def _learn(self, piece: str) -> str:
-        """Decimal ids of a piece; also notes the bytes that they decode to."""
-        ids = self.piece_ids(piece.encode("utf-8", "replace"))
-        self.bytes_of[piece] = self.decode(ids)
-        return " ".join(map(str, ids))
-
     def pieces(self, text: str) -> list[str]:
         """The matches of the pattern, in order."""
         return SIMPLE(text) if self.simple and not SIMPLE_NOT(text) else self.pattern.findall(text)
@@ -185,17 +178,13 @@ class ByteBpe:
         return b"".join(map(self.packed.__getitem__, self.pieces(text)))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, digest of the decimal ids, digest of the decoded bytes."""
-        parts = self.pieces(text)
-        if len(self.id_text) > REMEMBERED:
-            self.id_text.clear()
-            self.bytes_of.clear()
-        ids = " ".join(map(self.id_text.__getitem__, parts)).encode()
-        back = b"".join(map(self.bytes_of.__getitem__, parts))
-        return ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+        """Number of ids, digest of the decimal ids, digest of the bytes that the ids decode to."""
+        ids = np.frombuffer(self.id_bytes(text), "<i4").tolist()
+        spelled = " ".join(map(self.decimal.__getitem__, ids)).encode()
+        return len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 @lru_cache(maxsize=2)
