@@ -9,7 +9,8 @@ Records of equal payloads: the one with the smallest page_id is a response, the
 others are revisits that name it and carry no payload.
 
 Defined cases: a null html is an empty payload; payloads of any length; repeated
-rows of one page_id give one record each, all of the same type; an
+rows of one page_id and payload give one record each, all of the same type; a null
+page_id is a response that no other refers to and stays null; an
 empty table gives no archive and no row; a null url is an empty target URI; other
 columns are not read.
 """

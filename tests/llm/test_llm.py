@@ -12,6 +12,7 @@ import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -183,6 +184,64 @@ def test_substring_dedup_finds_spans_through_paths(spark, monkeypatch):
     assert all(n < 200 for n in gone().values())  # edges by themselves do not reach
 
 
+def test_byte_bpe_repeats_rows_and_replaces_columns(spark):
+    d = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "a b", "x"), (2, None, "x")], "doc_id long, text string, ids string").withColumn("decoded", F.lit(3))
+    back = byte_bpe.decode_column(byte_bpe.encode_column(d, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, bytes(r["decoded"])) for r in back) == [(0, b"a b"), (1, b"a b"), (1, b"a b"), (2, b"")]
+    got = byte_bpe.token_digests(d, RANKS, P.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded_sha256"]) for r in got) == [(0, 2, sha("a b")), (1, 2, sha("a b")), (1, 2, sha("a b")), (2, 0, sha(""))]
+
+
+def test_ngram_join_of_repeated_and_missing_ids(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(7, one), (7, one), (7, two), (None, one), (None, two + " c"), (3, two), (None, "alone by itself now yes"), (9, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("mine")).withColumn("component_id", F.lit(0))
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.linked_groups(d, 4, 85).collect())
+    assert got == collections.Counter([(7, 47, 7), (7, 47, 7), (7, 47, 3), (None, 47, 7), (None, 48, 3), (3, 47, 3), (None, 2, None), (9, 0, 9), (None, 0, None)])
+
+
+def test_decontaminate_takes_rows_as_documents(spark):
+    leak = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([("i", leak), ("j", leak), ("j", "w0")], "item_id string, text string").withColumn("hash", F.lit(1))
+    d = spark.createDataFrame([(1, leak), (1, leak), (1, "clean"), (None, leak), (None, None)], "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("size", F.lit(1))
+    got = collections.Counter(tuple(r) for r in decontaminate.hits(d, bench).select("doc_id", "n_words", "n_hit", F.array_join("items", ",")).collect())
+    assert got == collections.Counter({(1, 12, 12, "i,j"): 2, (1, 1, 0, ""): 1, (None, 12, 12, "i,j"): 1, (None, 0, 0, ""): 1})
+
+
+def test_chat_format_of_repeated_nodes_and_ties(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 1, None, "user", "p", 0.0), (1, 2, 1, "assistant", "x", 0.5), (1, 3, 1, "assistant", "y", 0.5), (1, 3, 1, "assistant", "y", 0.5), (2, 1, None, None, None, None)]
+    d = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    for n, c in enumerate(("leaf", "place", "length", "up", "total", "formatted")):
+        d = d.withColumn(c, F.lit(n))
+    got = {(r["tree"], r["leaf"]): [tuple(t) for t in r["turns"]] for r in chat_format.read_back(chat_format.format_paths(d)).collect()}
+    assert got == {(1, 2): [("user", "p"), ("assistant", "x")], (1, 3): [("user", "p"), ("assistant", "y")], (2, 1): [("", "")]}
+    assert [(r["tree"], r["leaf"]) for r in chat_format.format_paths(d, best=1).orderBy("tree").collect()] == [(1, 2), (2, 1)]
+
+
+def test_chat_format_ranks_branches_as_sql(spark):
+    """The best two paths of random reply trees, against a recursive query."""
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(8)
+    rows = [(t, n, r.randrange(n) if n and r.random() < 0.95 else None, "assistant" if n % 2 else "user", f"t{t}n{n}<", round(r.random(), 3)) for t in range(25) for n in range(r.randint(1, 40))]
+    d = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    nodes = pd.DataFrame(rows, columns=["tree", "node", "parent", "role", "text", "score"])
+    want = duckdb.sql("""WITH RECURSIVE n AS (SELECT * FROM nodes), p AS (SELECT tree, node, score AS total, 1 AS length, text AS said FROM n WHERE parent IS NULL
+        UNION ALL SELECT n.tree, n.node, p.total + n.score, p.length + 1, p.said || '|' || n.text FROM n JOIN p ON n.tree = p.tree AND n.parent = p.node),
+        l AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.tree = p.tree AND n.parent = p.node))
+        SELECT tree, node, said FROM l QUALIFY row_number() OVER (PARTITION BY tree ORDER BY round(total / length, 9) DESC, node) <= 2""").fetchall()
+    got = chat_format.read_back(chat_format.format_paths(d, best=2)).collect()
+    assert sorted((x["tree"], x["leaf"], "|".join(t["text"] for t in x["turns"])) for x in got) == sorted(want)
+
+
+def test_warc_of_repeated_and_missing_ids(spark):
+    rows = [(4, "u", "x"), (4, "v", "x"), (2, "u", "x"), (2, "u", "x"), (None, "u", "x"), (None, None, "only"), (6, "u", "only")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit(1))
+    got = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(d).collect())
+    assert got == collections.Counter({(4, "revisit", 2): 2, (2, "response", None): 2, (None, "response", None): 2, (6, "response", None): 1})
+
+
 @pytest.mark.parametrize("window", [0, 5, 65_001])
 def test_substring_dedup_refuses_windows(docs, window):
     with pytest.raises(ValueError):
@@ -251,6 +310,62 @@ def test_fingerprint(docs, texts):
     assert fingerprint.fingerprints(docs.limit(0), 4).count() == 0
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash without any sorting trick: the smallest hash a bin, then donors in each bin's own order."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    long = lambda h: h.to_bytes(8, "little")
+    w = words(lower(text))
+    ones = [of(x.encode(), 42) for x in w]
+    pair = lambda a, b: of(long(b), of(long(a), 42))
+    hashes = []
+    for i in range(len(w) - 4):
+        two, three = pair(ones[i], ones[i + 1]), pair(ones[i + 2], ones[i + 3])
+        hashes.append(pair(pair(two, three), ones[i + 4]))
+    if w and not hashes:
+        seed = 42
+        for x in w:
+            seed = of(x.encode(), seed)
+        hashes = [seed]
+    bins = [None] * 128
+    for h in map(signed, hashes):
+        b = (h >> 57) + 64
+        bins[b] = h if bins[b] is None else min(bins[b], h)
+    if not hashes:
+        return "0" * 256
+    ranks = fingerprint._ranks(128)
+    full = [p for p in range(128) if bins[p] is not None]
+    dense = [bins[b] if bins[b] is not None else bins[min(full, key=lambda p: ranks[b * 128 + p])] for b in range(128)]
+    return "".join(f"{h & 255:02x}" for h in dense)
+
+
+def test_fingerprint_equals_a_plain_one(spark, texts):
+    rows = [(i if i % 7 else None, t) for i, t in enumerate([*texts, *texts[:3], "one", "a b c d", "a b c d e f"])] + [(3, "again"), (3, "again"), (-(2**63), "least")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("mine")).withColumn("_span", F.lit(1))
+    got = fingerprint.fingerprints(d, 4).select("doc_id", "fingerprint", "n_chars").collect()
+    want = collections.Counter((i, plain_fingerprint(t or ""), len(t or "")) for i, t in rows)
+    assert collections.Counter(map(tuple, got)) == want
+    r = random.Random(5)
+    errors = []
+    for share in (0.2, 0.5, 0.8, 0.95):  # the estimate has no bias worth the name, chance agreement taken out
+        pairs = []
+        for n in range(60):
+            base = [f"{r.random()}" for _ in range(400)]
+            keep = int(400 * share)
+            pairs.append((n, " ".join(base), " ".join(base[:keep] + [f"{r.random()}" for _ in range(400 - keep)])))
+        p = fingerprint.with_fingerprint(fingerprint.with_fingerprint(spark.createDataFrame(pairs, "n int, a string, b string"), "a", "fa"), "b", "fb")
+        sets = lambda t: {tuple(t.split()[j : j + 5]) for j in range(396)}
+        true = {n: len(sets(a) & sets(b)) / len(sets(a) | sets(b)) for n, a, b in pairs}
+        errors.append(np.mean([x["v"] - true[x["n"]] for x in p.select("n", fingerprint.likeness(F.col("fa"), F.col("fb")).alias("v")).collect()]))
+    assert max(map(abs, errors)) < 0.02
+
+
+def test_apart_sends_each_number_to_a_partition(spark):
+    for n in (1, 2, 7, 51):
+        d = spark.createDataFrame([(i,) for i in fingerprint._apart(n)], "k int").repartition(n, "k")
+        assert sorted(r[0] for r in d.select(F.spark_partition_id()).collect()) == list(range(n))
+
+
 def test_language_id(spark):
     r = random.Random(1)
     words_of = {"en": ["the", "and", "with", "house", "thing"], "fr": ["le", "être", "où", "maison", "chose"], "de": ["der", "und", "straße", "haus", "ding"]}
