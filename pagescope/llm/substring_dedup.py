@@ -154,20 +154,23 @@ def _repeated_edges(_, x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 # ---- 2. compaction -------------------------------------------------------------
 
 
-def compact(occurrences: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+def compact(occurrences: DataFrame, window: int = WINDOW, folder: str | None = None) -> DataFrame:
     """a, b, edge, first, last of repeated edges -> a, b, run, path, first, last, shared, speaks: a row for each stretch of a nonbranching path.
 
     Stretches of a run follow one another; path is a hash of the stretch's edges;
     shared: another source has the same stretch, of a window or more; speaks: the
-    first of them.
+    first of them. Joins are between tables in the folder, so that adaptive execution
+    can split an edge or a path that stands in very many documents.
     """
+    spark = occurrences.sparkSession
+    folder = folder or storage.new_path(spark, "compaction")
     order = Window.partitionBy(*_ROW).orderBy("first")
     follows = F.lead("first").over(order) == F.col("last") - K
-    steps = storage.materialise(occurrences.withColumn("next", F.when(follows, F.lead("edge").over(order))), "linked-edges", path)
+    steps = storage.materialise(occurrences.withColumn("next", F.when(follows, F.lead("edge").over(order))), "", f"{folder}/linked")
     ways = steps.filter("next IS NOT NULL").select("edge", "next").distinct()
     on = ways.groupBy("edge").agg(F.count("*").alias("ways"), F.min("next").alias("next")).filter("ways = 1")
     back = ways.groupBy("next").agg(F.count("*").alias("ways")).filter("ways = 1").select("next")
-    plain = on.join(back, "next", "left_semi").select(F.col("edge").alias("_e"), F.col("next").alias("_n"))
+    plain = storage.materialise(on.join(back, "next", "left_semi").select(F.col("edge").alias("_e"), F.col("next").alias("_n")), "", f"{folder}/plain")
     joined = steps.join(plain, (F.col("edge") == F.col("_e")) & (F.col("next") == F.col("_n")), "left")
     before = F.lag(F.struct("next", F.col("_n").isNotNull().alias("plain"))).over(order)
     marks = joined.select(*_ROW, "edge", "first", "last", F.coalesce(before["next"].isNull(), F.lit(True)).cast("int").alias("new_run"), (~F.coalesce(before["plain"], F.lit(False))).cast("int").alias("new_path"))
@@ -175,9 +178,11 @@ def compact(occurrences: DataFrame, window: int = WINDOW, path: str | None = Non
     runs = marks.select(*_ROW, "edge", "first", "last", F.sum("new_run").over(upto).cast("int").alias("run"), F.sum("new_path").over(upto).alias("stretch"))
     edges = F.transform(F.array_sort(F.collect_list(F.struct("first", "edge"))), lambda x: x["edge"])
     stretches = runs.groupBy(*_ROW, "run", "stretch").agg(F.xxhash64(edges).alias("path"), F.min("first").alias("first"), F.max("last").alias("last")).drop("stretch")
+    stretches = storage.materialise(stretches, "", f"{folder}/stretches")
     long = F.col("last") - F.col("first") >= window
     place = F.struct(*_ROW, "first")
     shared = stretches.filter(long).groupBy("path").agg(F.count("*").alias("n"), F.min(place).alias("_s")).filter("n > 1").select(F.col("path").alias("_p"), "_s")
+    shared = storage.materialise(shared, "", f"{folder}/shared")
     out = stretches.join(shared, (F.col("path") == F.col("_p")) & long, "left")
     return out.withColumns({"shared": F.col("_p").isNotNull(), "speaks": F.coalesce(F.col("_s") == place, F.lit(False))}).drop("_p", "_s")
 
@@ -333,7 +338,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     reach_of(window)
     buckets = storage.shuffle_partitions(spark)
     texts = with_row_keys(docs)
-    paths = [storage.new_path(spark, name) for name in ("repeated-edges", "linked-edges", "stretches")]
+    paths = [storage.new_path(spark, name) for name in ("repeated-edges", "compaction", "stretches")]
     found = packed.each_bucket(_send_edges(texts, window, buckets), buckets, _EDGES, _repeated_edges, "a long, b int, edge long, first int, last int")
     found = storage.materialise(found, "", paths[0])
     storage.release_shuffles(spark)
