@@ -15,7 +15,7 @@ undoes it exactly. Loss spans (code points, end exclusive) cover assistant texts
 Defined cases: a null role or text is empty; a parent that is not in the table
 makes its child a root; nodes that reach no root (a cycle) are on no path; rows of
 the same tree and node are the same node once, the smallest by role and text; ties
-of score go to the smaller node; an empty table gives no rows; other columns are
+of score (to nine digits) go to the smaller node; an empty table gives no rows; other columns are
 not read.
 """
 
@@ -30,6 +30,8 @@ BEGIN, FINISH = "<|im_start|>", "<|im_end|>\n"
 #: What stands for a character inside a role or text.
 ESCAPES = {"\\": "\\0", "<": "\\1", "[": "\\2"}
 NEWLINE = "\\3"
+#: Parts in which the leaves of a tree are ranked first.
+PARTS = 64
 
 
 def escape(value: Column) -> Column:
@@ -70,8 +72,11 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     parents = nodes.select("tree", F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct()
     leaves = steps[-1].filter(F.col("up").isNull()).join(parents, ["tree", "node"], "left_anti")
     if best is not None:
-        order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
-        leaves = leaves.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= best)
+        leaves = leaves.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+        for part in (["tree", "_part"], ["tree"]):  # the best of each part of a tree, then of those: no task gets all leaves of a large tree
+            order = Window.partitionBy(*part).orderBy(F.round(F.col("total") / F.col("length"), 9).desc(), "node")
+            leaves = leaves.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= best)
+        leaves = storage.materialise(leaves.drop("_part", "_rank"), "reply-leaves")  # and the joins that follow are dealt by node, not by tree
     parts = leaves.select("tree", F.col("node").alias("leaf"), "node", F.col("length").alias("place"), "length")
     for j in reversed(range(len(steps) - 1)):
         size = 1 << j
@@ -114,8 +119,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digest_rows(turns: DataFrame) -> DataFrame:
-    """Formats conversations and reads them back: counts and digests of each."""
-    back = read_back(format_paths(turns_as_nodes(turns)))
+    """Formats the best path of each conversation, which is a tree of one branch, and reads it back: counts and digests of each."""
+    back = read_back(format_paths(turns_as_nodes(turns), best=1))
     spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         F.col("tree").alias("conv_id"),
