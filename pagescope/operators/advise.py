@@ -110,15 +110,23 @@ def image_facts(f: Column) -> Column:
 _RUN = {"faq_schema": faq_pairs, "facts_in_prose": facts_in_prose, "undated_claims": undated_claims, "image_facts_with_alt": image_facts}
 
 
-def detections(sites: DataFrame) -> DataFrame:
-    """site_id, detector, place, category, title, check_id (that suppresses it), measurement (null: did not fire)."""
+DETECTED = "array<struct<detector:string,place:int,category:string,title:string,check_id:string,measurement:int>>"
+
+
+def detector_rows() -> Column:
+    """Array of detector, place, category, title, check_id (that suppresses it), measurement (null: did not fire) of a site row."""
     f = F.get("pages", F.lit(0))["f"]
     gate = X.language_supported(F.col("language"), R.SUPPORTED_LANGUAGES)
     rows = []
     for i, (name, category, title, needs, check) in enumerate(DETECTORS):
         m = _RUN[name](f)
         rows.append(F.struct(F.lit(name).alias("detector"), F.lit(i).alias("place"), F.lit(category).alias("category"), F.lit(title).alias("title"), F.lit(check).cast("string").alias("check_id"), (F.when(gate, m) if needs else m).cast("int").alias("measurement")))
-    return sites.select("site_id", F.inline(F.array(*rows)))
+    return F.array(*rows)
+
+
+def detections(sites: DataFrame) -> DataFrame:
+    """site_id and the detector rows."""
+    return sites.select("site_id", F.inline(detector_rows()))
 
 
 def recommendations(sites: DataFrame, resolved: DataFrame) -> DataFrame:

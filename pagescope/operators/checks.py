@@ -19,10 +19,10 @@ NON_HANDLES = ["watch", "search", "results", "home", "login", "signin", "signup"
 
 
 def result(check_id: str, state: Column, measurement: Column | None = None, evidence: Column | None = None, selector: str | None = None, page_url: Column | None = None, reason: Column | None = None) -> Column:
-    """One row of check results."""
-    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    """One row of check results; with_check_rows cleans the evidence."""
+    text = lambda c: F.expr("cast(NULL AS string)") if c is None else c.cast("string")
     return F.struct(
-        F.lit(check_id).alias("check_id"), state.alias("state"), text(measurement).alias("measurement"), X.sanitize(text(evidence)).alias("evidence"),
+        F.lit(check_id).alias("check_id"), state.alias("state"), text(measurement).alias("measurement"), text(evidence).alias("evidence"),
         F.lit(selector).cast("string").alias("selector"), text(page_url).alias("page_url"), text(reason).alias("reason"),
     )
 
@@ -41,7 +41,7 @@ def ai_crawlers(robots: Column | None, url: Column) -> Column:
     blocked = F.filter(F.map_keys(robots["ai"]), lambda k: ~F.element_at(robots["ai"], k))
     known = F.coalesce(robots["determinable"], F.lit(False))
     state = F.when(~known, "unknown").when(F.size(blocked) == 0, "pass").otherwise("fail")
-    return result("access.ai_crawlers_allowed", state, F.when(known, F.size(blocked)), F.array_join(F.array_sort(blocked), ", "), page_url=url, reason=F.when(~known, "robots.txt could not be read"))
+    return result("access.ai_crawlers_allowed", state, F.when(known, F.size(blocked)), F.array_join(F.array_sort(blocked), ", "), page_url=url, reason=F.when(robots.isNull(), "robots.txt was not read").when(~known, "robots.txt could not be read"))
 
 
 def indexable(p: Column) -> Column:
@@ -58,9 +58,10 @@ def content_without_js(p: Column) -> Column:
 
 
 def semantic_html(p: Column) -> Column:
-    has = lambda *tags: F.arrays_overlap(p["f"]["landmarks"], X.lit_array(list(tags)))
-    state = F.when(has("main", "article"), "pass").when(has("header", "nav", "aside", "footer"), "partial").otherwise("fail")
-    return result("extraction.semantic_html", state, F.array_join(p["f"]["landmarks"], ","), F.array_join(p["f"]["landmarks"], ", "), "body", p["url"])
+    """main or article marks the content; header and nav are some structure; aside and footer are none."""
+    found = F.array_intersect(p["f"]["landmarks"], X.lit_array(["article", "header", "main", "nav"]))
+    state = F.when(F.arrays_overlap(found, X.lit_array(["main", "article"])), "pass").when(F.size(found) > 0, "partial").otherwise("fail")
+    return result("extraction.semantic_html", state, F.array_join(found, ","), F.array_join(found, ", "), "body", p["url"])
 
 
 def facts_not_image_only(p: Column) -> Column:
@@ -348,12 +349,13 @@ def legibility(p: Column) -> Column:
 # ---- all ----------------------------------------------------------------------------
 
 
-def check_results(sites: DataFrame) -> DataFrame:
-    """site_id, check_id, state, measurement, evidence, selector, page_url, reason: 24 rows a site, in registry order.
+def with_check_rows(sites: DataFrame) -> DataFrame:
+    """Adds checks: an array of check_id, state, measurement, evidence, selector, page_url, reason in registry order.
 
-    A site whose homepage is blocked, failed or empty has only unknown rows with
-    the reason. The page rows are small, so one generate unpivots them in place;
-    nothing is shuffled here.
+    A check that fails on a page's data is unknown with the reason `check failed`, the
+    others stand: values that may be missing or odd are read by functions that give
+    null instead of an error, and a state that comes out null becomes that row. A site whose homepage is blocked, failed or empty has only unknown rows with
+    the reason.
     """
     home = F.get("pages", F.lit(0))
     robots = F.col("robots") if "robots" in sites.columns else None
@@ -370,5 +372,14 @@ def check_results(sites: DataFrame) -> DataFrame:
         F.when(p.isNull(), "no homepage").when(p["page_status"] == "blocked", F.concat(F.lit("blocked: "), F.coalesce(p["blocked_kind"], F.lit("robots"))))
         .when(p["page_status"] != "ok", p["page_status"]).when(~p["has_html"], "homepage has no HTML")
     )
-    none = F.array(*[result(c, F.lit("unknown"), page_url=p["url"], reason=problem) for c in R.CHECKS])
-    return sites.select("site_id", "language", F.inline(F.when(problem.isNull(), F.array(*rows)).otherwise(none)))
+    unknown = lambda check, reason: F.struct(check.alias("check_id"), F.lit("unknown").alias("state"), *[F.expr(f"cast(NULL AS string) AS {c}") for c in ("measurement", "evidence", "selector")], p["url"].alias("page_url"), reason.alias("reason"))
+    none = F.transform(X.lit_array(list(R.CHECKS)), lambda c: unknown(c, problem))
+    sites = sites.withColumn("checks", F.when(problem.isNull(), F.array(*rows)).otherwise(none))
+    clean = lambda r: F.struct(*[(X.sanitize(r[c]) if c == "evidence" else r[c]).alias(c) for c in ("check_id", "state", "measurement", "evidence", "selector", "page_url", "reason")])
+    whole = F.transform("checks", lambda r: F.when(r["state"].isNotNull(), clean(r)).otherwise(unknown(r["check_id"], F.lit("check failed"))))
+    return sites.withColumn("checks", whole).drop("home", "entities")
+
+
+def check_results(sites: DataFrame) -> DataFrame:
+    """site_id, language and the check rows: 24 rows a site, unpivoted in place; nothing is shuffled here."""
+    return with_check_rows(sites).select("site_id", "language", F.inline("checks"))

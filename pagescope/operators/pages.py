@@ -15,6 +15,9 @@ GEOMETRY = (
     "overlays:array<struct<tag:string,coverage:double,top:double>>>"
 )
 
+#: What a page row may bring besides page_id, url and html: type, and value where it does not.
+DEFAULTS = {"status": ("int", 200), "page_status": ("string", "ok"), "skip_reason": ("string", None), "blocked_kind": ("string", None), "nav_state": ("string", None), "x_robots_tag": ("string", None), "rendered_html": ("string", None), "geometry": (GEOMETRY, None)}
+
 
 def with_site(pages: DataFrame) -> DataFrame:
     """Adds site_id (host without www) and depth of the path."""
@@ -22,12 +25,13 @@ def with_site(pages: DataFrame) -> DataFrame:
 
 
 def select_pages(pages: DataFrame, max_pages: int = U.MAX_PAGES) -> DataFrame:
-    """At most max_pages pages a site, the shallowest first, then by page_id; pos counts from 0, 0 is the homepage.
+    """At most max_pages pages a site, the shallowest first, then by page_id, or by place if pages has it; pos counts from 0, 0 is the homepage.
 
     The limit is the crawl budget of the audit. Only ids and depths are ranked, so
     the shuffle carries no html; the rank is pushed down as a group limit.
     """
-    order = Window.partitionBy("site_id").orderBy("depth", "page_id")
+    first = ["place"] if "place" in pages.columns else ["depth", "page_id"]
+    order = Window.partitionBy("site_id").orderBy(*first)
     ranked = with_site(pages).filter(F.col("site_id").isNotNull())
     return ranked.withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < max_pages)
 
@@ -61,7 +65,7 @@ def page_row(with_html: bool = False) -> Column:
     raw = F.coalesce("html", F.lit(""))
     rendered = F.coalesce(F.when(F.col("rendered_html") != "", F.col("rendered_html")), raw)
     cols = [
-        F.col("pos"), F.col("url"), F.col("status"), F.col("page_status"), F.col("blocked_kind"), F.col("x_robots_tag"), F.col("meta_robots"),
+        F.col("pos"), F.col("url"), F.col("status"), F.col("page_status"), F.col("skip_reason"), F.col("blocked_kind"), F.col("x_robots_tag"), F.col("nav_state"), F.col("meta_robots"),
         F.length("visible").alias("raw_chars"), F.length(X.visible_text(rendered)).alias("rendered_chars"), F.col("rendered_html").isNotNull().alias("rendered"),
         X.framework_markers(raw).alias("markers"), X.empty_mount(raw).alias("mount"), (raw != "").alias("has_html"), F.col("geometry"), F.col("f"), F.col("lang"),
     ]
@@ -75,8 +79,7 @@ def artifacts_from_pages(pages: DataFrame, max_pages: int = U.MAX_PAGES) -> Data
     geometry are taken where pages has them; a page without is an answered page
     without render, as in an offline audit.
     """
-    defaults = {"status": ("int", 200), "page_status": ("string", "ok"), "blocked_kind": ("string", None), "x_robots_tag": ("string", None), "rendered_html": ("string", None), "geometry": (GEOMETRY, None)}
-    for name, (kind, value) in defaults.items():
+    for name, (kind, value) in DEFAULTS.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(value).cast(kind))
     rows = with_features(select_pages(pages, max_pages)).select("site_id", page_row().alias("p"))

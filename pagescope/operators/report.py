@@ -1,4 +1,4 @@
-"""Findings, rankings, gaps, verdicts, and the nested report."""
+"""Findings, rankings, gaps and verdicts as tables; writing and checking reports."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagescope import registry as R
 from pagescope.functions import text as X
-from pagescope.functions.html import py_round
 from pagescope.operators import score as S
 
 REASON_TEXT = {"not_measured": "was not measured", "language_not_supported": "the language is not supported", "blocked": "the site refused the audit"}
@@ -85,39 +84,6 @@ def partial_reason(sites: DataFrame, resolved: DataFrame, errors: DataFrame) ->
     return rows.select("site_id", reason.alias("partial_reason"))
 
 
-def scorecard(resolved: DataFrame) -> DataFrame:
-    """One row a site: overall score and its reliability, the four category scores, counts of findings."""
-    cats = S.category_scores(resolved)
-    wide = cats.groupBy("site_id").pivot("category", list(R.CATEGORIES)).agg(F.first("score"))
-    counts = S.severity_counts(findings(resolved))
-    s = S.site_scores(resolved).join(wide, "site_id").join(counts, "site_id", "left")
-    return s.withColumn("verdict", verdict(F.col("overall"), F.col("coverage"))).fillna(0, ["total_findings", *R.SEVERITIES])
-
-
-def report(sites: DataFrame, resolved: DataFrame, advice: DataFrame | None = None) -> DataFrame:
-    """site_id, report: a nested struct a site, with figures rounded as published."""
-    found = findings(resolved)
-    if advice is not None:
-        found = found.join(advice, ["site_id", "check_id"], "left")
-    else:
-        found = found.withColumns({k: F.lit(None).cast("string") for k in ("target", "snippet", "validation")}).withColumn("placeholders_remaining", F.array().cast("array<string>"))
-    action = F.struct(F.col("do").alias("summary"), "target", "snippet", "validation", "placeholders_remaining").alias("suggested_action")
-    row = F.struct("id", "title", "severity", "category", "check_id", "confidence", "measurement", "evidence", "selector", "page_url", "points_recoverable", action)
-    f = found.groupBy("site_id").agg(F.array_sort(F.collect_list(row)).alias("findings"))
-    n = next_actions(findings(resolved)).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("rank", "finding_id", "title", "severity", "score_gain", "do"))).alias("next_actions"))
-    cats = S.category_scores(resolved)
-    g = not_checked(resolved, cats).groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("category", "coverage", "reasons"))).alias("not_checked"))
-    k = cats.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("category", py_round(F.col("score"), 1).alias("score"), py_round(F.col("coverage"), 3).alias("coverage"), verdict(F.col("score"), F.col("coverage")).alias("verdict")))).alias("categories"))
-    s = S.site_scores(resolved)
-    out = sites.select("site_id", "url", "language").join(s, "site_id").join(k, "site_id").join(f, "site_id", "left").join(n, "site_id", "left").join(g, "site_id", "left")
-    body = F.struct(
-        F.struct("url", "language").alias("site"),
-        F.struct(F.coalesce(py_round(F.col("overall"), 0).cast("int"), F.lit(0)).alias("score"), py_round(F.col("coverage"), 3).alias("coverage"), py_round(F.col("confidence"), 3).alias("confidence"), verdict(F.col("overall"), F.col("coverage")).alias("verdict"), "checks_evaluated", "checks_unknown").alias("summary"),
-        "categories", F.coalesce("findings", F.array()).alias("findings"), F.coalesce("next_actions", F.array()).alias("next_actions"), F.coalesce("not_checked", F.array()).alias("not_checked"),
-    )
-    return out.select("site_id", body.alias("report"))
-
-
 def write_report(reports: DataFrame, path: str) -> None:
     """One JSON document a line."""
     reports.select(F.to_json("report").alias("value")).write.mode("overwrite").text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescope import registry as R
@@ -32,29 +32,35 @@ def resolve_states(results: DataFrame, sites: DataFrame) -> DataFrame:
     maps = results.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("check_id", fields))).alias("m"))
     blocked = F.coalesce(F.col("blocked_before_fetch"), F.lit(False)) if "blocked_before_fetch" in sites.columns else F.lit(False)
     rows = sites.select("site_id", X.language_supported(F.col("language"), R.SUPPORTED_LANGUAGES).alias("gate"), blocked.alias("blocked")).join(maps, "site_id", "left")
+    return with_resolved(rows).select("site_id", F.inline("resolved"))
+
+
+def with_resolved(rows: DataFrame) -> DataFrame:
+    """rows with m (map of check_id to measured fields), gate and blocked: adds resolved, an array in registry order."""
     by_level: dict[int, list[R.Check]] = {}
     for c in R.CHECKS.values():
         by_level.setdefault(R.LEVELS[c.check_id], []).append(c)
     name = {c: f"c{i}" for i, c in enumerate(R.CHECKS)}
     for level in sorted(by_level):
-        rows = rows.withColumns({name[c.check_id]: _resolved(c, name) for c in by_level[level]})
-    return rows.select("site_id", F.inline(F.array(*[name[c] for c in R.CHECKS])))
-
-
-def _resolved(c: R.Check, name: dict[str, str]) -> Column:
-    own = F.element_at("m", c.check_id)
-    measured = F.coalesce(own["state"], F.lit("unknown"))
-    blocker = F.lit(None).cast("string")
-    for d in sorted(c.depends_on, reverse=True):
-        dep = F.col(name[d])
-        failed = dep["state"] == "fail"
-        hit = F.when(failed, d) if R.CHECKS[d].confidence_class == "verified" else F.lit(None).cast("string")
-        blocker = F.coalesce(hit, dep["suppressed_by"], blocker)
-    gated = ~F.col("gate") if c.requires_language else F.lit(False)
-    stop = F.when(F.col("blocked"), "blocked").when(gated, "language_not_supported").when(blocker.isNotNull(), "suppressed_by_failed_prerequisite")
-    reason = F.coalesce(stop, own["reason"], F.when(own.isNull(), "not_measured"))
-    return F.struct(
-        F.lit(c.check_id).alias("check_id"), F.when(stop.isNotNull(), "unknown").otherwise(measured).alias("state"), measured.alias("original_state"),
-        F.when(stop == "suppressed_by_failed_prerequisite", blocker).alias("suppressed_by"), reason.alias("reason"),
-        own["measurement"].alias("measurement"), own["evidence"].alias("evidence"), own["selector"].alias("selector"), own["page_url"].alias("page_url"),
-    )
+        rows = rows.selectExpr("*", *[f"{_resolved(c, name)} AS {name[c.check_id]}" for c in by_level[level]])
+    return rows.withColumn("resolved", F.array(*[name[c] for c in R.CHECKS])).drop(*name.values())
+
+
+def _resolved(c: R.Check, name: dict[str, str]) -> str:
+    """SQL of the resolved row of one check from m, gate, blocked and the resolved rows of its prerequisites."""
+    own = f"element_at(m, '{c.check_id}')"
+    causes = []
+    for d in sorted(c.depends_on):
+        if R.CHECKS[d].confidence_class == "verified":
+            causes.append(f"CASE WHEN {name[d]}.state = 'fail' THEN '{d}' END")
+        causes.append(f"{name[d]}.suppressed_by")
+    blocker = f"coalesce({', '.join(causes)}, NULL)" if causes else "CAST(NULL AS STRING)"
+    gated = "WHEN NOT gate THEN 'language_not_supported'" if c.requires_language else ""
+    stop = f"CASE WHEN blocked THEN 'blocked' {gated} WHEN {blocker} IS NOT NULL THEN 'suppressed_by_failed_prerequisite' END"
+    suppressed = f"CASE WHEN blocked THEN NULL {gated.replace(chr(39) + 'language_not_supported' + chr(39), 'NULL')} ELSE {blocker} END"
+    fields = {
+        "check_id": f"'{c.check_id}'", "state": f"CASE WHEN {stop} IS NOT NULL THEN 'unknown' ELSE coalesce({own}.state, 'unknown') END", "original_state": f"coalesce({own}.state, 'unknown')",
+        "suppressed_by": suppressed, "reason": f"coalesce({stop}, {own}.reason, CASE WHEN {own} IS NULL THEN 'not_measured' END)",
+        **{f: f"{own}.{f}" for f in ("measurement", "evidence", "selector", "page_url")},
+    }
+    return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,9 +99,26 @@ ACTION_VERBS = ["build", "buy", "book", "compare", "create", "design", "find", "
 OFFERING_NOUNS = ["app", "bakery", "class", "clinic", "course", "data", "insurance", "platform", "product", "service", "shop", "software", "store", "tool", "training"]
 VAGUE_MARKERS = ["best in class", "cutting edge", "innovative solutions", "leading provider", "next level", "next generation", "one stop", "seamless", "unlock", "world class"]
 
+# Own wording by category: why a failure there matters. By check: what is measured, in the order of the table.
+_IMPACT = {
+    D: "What a crawler cannot fetch or read is not quoted by any assistant.",
+    C: "Text that cannot be taken out of its page as a whole is passed over for text that can.",
+    E: "A site whose owner is not stated is mixed up with others of a like name.",
+    H: "A visitor who does not see at once where they are goes back to the answer they came from.",
+}
+_SIGNALS = [
+    "HTTP status of the home page", "Rules of robots.txt for known AI crawlers", "noindex in meta robots or X-Robots-Tag", "Characters of visible text in the raw HTML",
+    "main, article, header and nav elements", "Images whose names hold figures and whose alt text says little", "Length of the title", "Length of the meta description",
+    "Number and order of heading levels", "Lists and tables with two items or more", "Sentences that can be quoted on their own", "Share of sentences with a figure or a name",
+    "JSON-LD blocks or microdata", "Nodes that name the owner", "sameAs and rel=me links", "Kinds of the linked profiles",
+    "og:title, og:type and og:url", "Names in markup, title and Open Graph", "Headings in the first screen", "Links and buttons in the first screen",
+    "Share of the screen under overlays", "meta viewport", "Figures, names, verbs and nouns in the headline", "Font size of body text",
+]
+
 # Own verdict bands: least score and sentence, high to low.
 BANDS = [(85, "Well prepared"), (60, "Partly prepared"), (0, "Poorly prepared")]
 UNMEASURED = "Not enough could be measured"
+CAVEAT = "Less than half of the weight could be measured, so the score says little."
 
 
 @dataclass(frozen=True)
@@ -125,6 +143,22 @@ class Check:
     def remedy(self) -> str:
         return _WORDS[self.check_id][2]
 
+    @property
+    def summary(self) -> str:
+        return f"{self.failure_title}."
+
+    @property
+    def partial_summary(self) -> str:
+        return f"{self.title}: this is there in part only."
+
+    @property
+    def signal(self) -> str:
+        return _SIGNALS[list(CHECKS).index(self.check_id)]
+
+    @property
+    def impact(self) -> str:
+        return _IMPACT[self.category]
+
 
 CHECKS = {row[0]: Check(*row) for row in _TABLE}
 
@@ -155,6 +189,38 @@ def validate(checks: dict[str, Check], categories: dict[str, int]) -> None:
     levels(checks)
 
 
+def read_registry(text: str, strict: bool = True) -> dict[str, Check]:
+    """Checks of a JSON document: {"checks": [{"id", "category", "weight", "severity", "confidence_class", ...}]}.
+
+    strict: ValueError on text that is no such document, on an id that occurs twice and
+    on what `validate` refuses. Otherwise the first of an id stays, checks that cannot
+    be read are left out, and a document that cannot be read has none.
+    """
+    found: dict[str, Check] = {}
+    try:
+        rows = json.loads(text)["checks"]
+        if not isinstance(rows, list):
+            raise TypeError("checks is not a list")
+    except (ValueError, KeyError, TypeError) as e:
+        if strict:
+            raise ValueError(f"not a registry: {e}") from e
+        return found
+    for row in rows:
+        try:
+            c = Check(row["id"], row["category"], row["weight"], row["severity"], row["confidence_class"], bool(row.get("requires_language", False)), list(row.get("depends_on") or []))
+            if not isinstance(c.check_id, str) or isinstance(c.weight, bool) or not isinstance(c.weight, int):
+                raise TypeError(f"bad check {c.check_id!r}")
+            if c.check_id in found:
+                raise ValueError(f"{c.check_id} occurs twice")
+            found[c.check_id] = c
+        except (KeyError, TypeError, ValueError, AttributeError) as e:
+            if strict:
+                raise ValueError(f"bad check: {e}") from e
+    if strict:
+        validate(found, {c.category: 0 for c in found.values()})
+    return found
+
+
 validate(CHECKS, CATEGORIES)
 LEVELS = levels(CHECKS)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagescope.operators import report
+from pagescope.operators import site
 from pagescope.plans.audit import audit
 
 PAGES = "page_id long, url string, html string, fetched_at timestamp"
@@ -30,7 +30,7 @@ def score_batches(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """A scorecard for each micro-batch, in a folder of its own: a batch that runs again overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        card = report.scorecard(audit(batch.select("page_id", "url", "html")).resolved)
+        card = site.scorecard(audit(batch.select("page_id", "url", "html")).sites)
         card.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

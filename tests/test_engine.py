@@ -11,7 +11,8 @@ from pagescope.functions import crawl
 from pagescope.functions import html as H
 from pagescope.functions import text as X
 from pagescope.functions import urls as U
-from pagescope.operators import checks, fold, pages, quality, report, resolve, score
+from pagescope.functions.figures import py_round
+from pagescope.operators import checks, fold, pages, quality, report, resolve, score, site
 from pagescope.plans import audit as A
 from pagescope.sources import fetch, readers
 from pagescope.streaming import recrawl
@@ -63,7 +64,7 @@ def test_shell_page_suppresses_its_dependents(spark):
     dependents = [c.check_id for c in R.CHECKS.values() if c.depends_on == ["render.content_without_js"]]
     assert len(dependents) == 19 and all(r[c]["state"] == "unknown" for c in dependents)
     assert all(r[c]["suppressed_by"] == "render.content_without_js" for c in dependents if not R.CHECKS[c].requires_language)
-    card = report.scorecard(states(spark, SHELL).resolved).first()
+    card = site.scorecard(states(spark, SHELL).sites).first()
     assert card["verdict"] == R.UNMEASURED
 
 
@@ -114,9 +115,9 @@ def test_quantities_quotable_and_rounding(spark):
     assert [r["q"] for r in q.collect()] == [["$1,200", "18%", "4,000"], []]
     s = spark.createDataFrame([("The bakery in Leeds sells forty kinds of bread.",), ("However, it has been sold in Leeds since then.",), ("Short one 1.",)], "s string")
     assert [r["q"] for r in s.select(X.is_quotable(F.col("s"), R.DANGLING_OPENERS).alias("q")).collect()] == [True, False, False]
-    v = spark.createDataFrame([(1.25,), (3.25,), (None,)], "x double").select(H.py_round(F.col("x"), 1).alias("r"))
+    v = spark.createDataFrame([(1.25,), (3.25,), (None,)], "x double").select(py_round(F.col("x"), 1).alias("r"))
     assert [r["r"] for r in v.collect()] == [1.2, 3.2, None]
-    assert spark.createDataFrame([(0.7975,)], "x double").select(H.py_round(F.col("x"), 3)).first()[0] == round(0.7975, 3)
+    assert spark.createDataFrame([(0.7975,)], "x double").select(py_round(F.col("x"), 3)).first()[0] == round(0.7975, 3)
 
 
 def test_fold_offsets_agree_and_chrome_is_capped(spark):
@@ -182,14 +183,62 @@ def test_unknown_checks_are_errors(spark):
 
 def test_report_holds_its_invariants(spark):
     a = states(spark, HEALTHY.replace("<main>", "<div>").replace("<h1>", "<h3>"))
-    reports = report.report(a.sites, a.resolved)
+    reports = site.report(a.sites)
     assert report.violations(reports).count() == 0
     r = reports.first()["report"]
     assert [f["id"] for f in r["findings"]] == [f"F-{i:03d}" for i in range(1, len(r["findings"]) + 1)]
-    again = report.report(a.sites, a.resolved).select(F.to_json("report")).first()[0]
+    again = site.report(a.sites).select(F.to_json("report")).first()[0]
     assert again == reports.select(F.to_json("report")).first()[0]
 
 
+def _parses(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_each_page_is_parsed_once(spark):
+    d = spark.createDataFrame([(1, "https://leeds.example/", HEALTHY)], "page_id long, url string, html string")
+    a = A.audit(d)
+    for df in (a.results, a.resolved, site.scorecard(a.sites), site.report(a.sites), A.full_report(d)):
+        assert _parses(df) == 1
+
+
+def test_rows_and_tables_agree(spark):
+    """The report in the row against joins and aggregates over check rows."""
+    import __spark_entry__ as entry
+
+    rows = A.audit(A.test_pages(spark, "/root/testdata/sf0.001")).sites.cache()
+    r = rows.select("site_id", F.inline("resolved"))
+    found, cats = report.findings(r), score.category_scores(r)
+    both = lambda a, b: ({tuple(x) for x in a.collect()}, {tuple(x) for x in b.collect()})
+    wide = site.with_gaps(site.with_findings(site.with_scores(rows)))
+    names = ["id", "title", "severity", "category", "check_id", "state", "measurement", "evidence", "page_url", "points_recoverable", "do"]
+    one, two = both(wide.select("site_id", F.inline("findings")).select("site_id", *names), found.select("site_id", *names))
+    assert one == two and one
+    one, two = both(wide.select("site_id", F.inline("next_actions")), report.next_actions(found))
+    assert one == two
+    one, two = both(wide.select("site_id", F.inline("categories")).select("site_id", "category", "score", "coverage", "verified"), cats.select("site_id", "category", "score", "coverage", "verified"))
+    assert one == two
+    flat = lambda df: df.select("site_id", "category", "coverage", F.array_join("reasons", ";"))
+    one, two = both(flat(wide.select("site_id", F.inline("not_checked"))), flat(report.not_checked(r, cats)))
+    assert one == two
+    want = {x["site_id"]: x for x in score.site_scores(r).collect()}
+    for x in site.scorecard(rows).collect():
+        w = want[x["site_id"]]
+        assert all(abs(x[k] - w[k]) < 1e-9 for k in ("overall", "coverage", "confidence", "checks_evaluated", "checks_unknown"))
+    advice = {(x["site_id"], x["check_id"]): (x["target"], x["snippet"], x["validation"], x["placeholders_remaining"]) for x in entry.queries()["corrective_advice"](spark, "/root/testdata/sf0.001").collect()}
+    for x in site.report(rows).collect():
+        for f in x["report"]["findings"]:
+            s = f["suggested_action"]
+            assert advice[x["site_id"], f["check_id"]] == (s["target"], s["snippet"], s["validation"], s["placeholders_remaining"])
+
+
+def test_rounding_is_that_of_binary_values(spark):
+    values = [k / 20 for k in range(2001)] + [100.0 * a / (2 * b) for b in range(1, 101, 7) for a in range(0, 2 * b + 1, 3)]
+    d = spark.createDataFrame([(v, v / 100) for v in values], "x double, y double")
+    for r in d.select("x", "y", py_round(F.col("x"), 1).alias("a"), py_round(F.col("y"), 3, 1).alias("b"), py_round(F.col("x"), 0).alias("c")).collect():
+        assert (r["a"], r["b"], r["c"]) == (round(r["x"], 1), round(r["y"], 3), round(r["x"], 0))
+
+
 def test_advice_does_not_touch_scores(spark):
     a = states(spark, SHELL)
     before = score.site_scores(a.resolved).first()
@@ -246,12 +295,56 @@ def test_readers(spark, tmp_path):
     artifacts = readers.read_artifacts(spark, str(tmp_path))
     assert [r["final_url"] for r in artifacts.select("final_url", "_corrupt").collect() if r["_corrupt"]] == [None]
     rows = readers.pages_of_artifacts(artifacts)
-    assert rows.count() == 2 and rows.orderBy("page_id").first()["url"] == "https://leeds.example/"
-    site = pages.artifacts_from_pages(rows).first()
-    assert [p["url"] for p in site["pages"]] == ["https://leeds.example/", "https://leeds.example/x"]
+    assert rows.count() == 2 and rows.orderBy("place").first()["url"] == "https://leeds.example/"
+    one = pages.artifacts_from_pages(rows).first()
+    assert [p["url"] for p in one["pages"]] == ["https://leeds.example/", "https://leeds.example/x"]
     (tmp_path / "h").mkdir()
     (tmp_path / "h/p.html").write_text(HEALTHY)
     assert readers.read_html_files(spark, f"{tmp_path}/h").first()["html"] == HEALTHY
+    for i in range(20):
+        (tmp_path / f"h/{i}.html").write_text(SHELL)
+    assert site.scorecard(A.audit(readers.read_html_files(spark, f"{tmp_path}/h")).sites).count() == 21
+
+
+ODD_DOCUMENTS = [
+    {}, {"pages": None}, {"pages": []}, {"pages": [None]}, {"pages": [{}]}, {"pages": "text"}, {"pages": [{"url": "https://a.example/", "status": "ok"}]},
+    {"pages": [{"url": "https://a.example/", "status": "ok", "raw": None}]}, {"pages": [{"url": "https://a.example/", "status": "ok", "raw": {"html": None}}]},
+    {"pages": [{"url": "https://a.example/", "raw": {"html": "<p>x</p>"}}]}, {"pages": [{"url": None, "status": "ok"}]}, {"blocked_before_fetch": True},
+    {"language": "en"}, {"robots": [], "pages": []}, {"pages": [{"url": "https://a.example/", "status": "blocked", "blocked_kind": "captcha", "raw": {"html": "<p>x</p>"}}]},
+]
+
+
+def test_odd_documents_give_unknown_checks(spark, tmp_path):
+    import json
+
+    for i, doc in enumerate(ODD_DOCUMENTS):
+        doc = {"final_url": f"https://s{i}.example/", **json.loads(json.dumps(doc).replace("a.example", f"s{i}.example"))}
+        (tmp_path / f"{i:02d}.json").write_text(json.dumps(doc))
+    a = A.audit_artifacts(readers.read_artifacts(spark, str(tmp_path)))
+    rows = a.resolved.groupBy("site_id").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "unknown").alias("u")).collect()
+    assert len(rows) == len(ODD_DOCUMENTS) and all((r["n"], r["u"]) == (24, 24) for r in rows)
+    reports = {r["site_id"]: r["report"] for r in site.report(a.sites).collect()}
+    assert all(r["partial"] and r["findings"] == [] for r in reports.values()) and reports["s11.example"]["partial_reason"] == "blocked"
+
+
+def test_artifacts_reach_the_report(spark, tmp_path):
+    import json
+
+    from pagescope import __main__ as cli
+
+    page = {"url": "https://leeds.example/", "role": "homepage", "status": "ok", "raw": {"status": 200, "html": HEALTHY}}
+    late = {"url": "https://leeds.example/late", "status": "skipped", "skip_reason": "budget"}
+    doc = {"final_url": "https://leeds.example/", "fetched_at": "2026-01-02T03:04:05Z", "user_agent": "Agent/1", "robots": {"checked": True, "allowed": True}, "ai_crawlers": {"determinable": True, "allowed": {"GPTBot": False, "CCBot": True}}, "language": {"detected": "de"}, "pages": [page, late], "timing": {"total_ms": 7}, "errors": [{"stage": "fetch", "type": "late", "message": "x"}]}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps(doc))
+    assert cli.main(["audit", "--artifacts", str(tmp_path / "in"), "--out", str(tmp_path / "out")]) == 0
+    r = json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
+    d = r["diagnostics"]
+    assert r["partial_reason"] == "budget" and d["ai_crawlers"] == {"determinable": True, "blocked": ["GPTBot"]} and d["language_detected"] == "de" and not d["language_supported"]
+    assert (d["crawl_ms"], d["user_agent"], d["robots_checked"], r["audited_at"], d["errors"][0]["type"]) == (7, "Agent/1", True, "2026-01-02T03:04:05Z", "late")
+    assert [p["reason"] for p in d["pages"]] == ["budget"] and "access.ai_crawlers_allowed" in {f["check_id"] for f in r["findings"]}
+    f = r["findings"][0]
+    assert all(f[k] for k in ("signal", "impact", "plain_summary", "evidence")) and "facts_in_prose" in d["advisor"]["gated"]
 
 
 def test_sitemaps_expand_one_level(spark):
@@ -277,7 +370,7 @@ def test_stream_replays_as_the_batch(spark, tmp_path):
     q.awaitTermination(240)
     got = {r["site_id"]: r["overall"] for r in recrawl.latest_cards(spark.read.parquet(f"{tmp_path}/out")).collect()}
     # equal bodies of different pages are different keys; so each page passes once
-    want = {r["site_id"]: r["overall"] for r in report.scorecard(A.audit(d).resolved).collect()}
+    want = {r["site_id"]: r["overall"] for r in site.scorecard(A.audit(d).sites).collect()}
     assert got == want
 
 
