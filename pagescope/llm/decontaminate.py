@@ -49,8 +49,11 @@ def _hash_of(windows: DataFrame, size: int) -> DataFrame:
 
 def _places(size: int, own: list[int] | None) -> Column:
     """Windows of a text whose hash is among own, or all of them: size, at (from 1), hash."""
-    spots = F.transform(f"_at{size}", lambda h, i: F.struct(F.lit(size).alias("size"), (i + 1).alias("at"), h.alias("hash")))
-    return spots if own is None else F.filter(spots, lambda s: s["hash"].isin(own))
+    hashes = F.col(f"_at{size}")
+    if own is None:
+        return F.transform(hashes, lambda h, i: F.struct(F.lit(size).alias("size"), (i + 1).alias("at"), h.alias("hash")))
+    at = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(own), i + 1)), lambda i: i.isNotNull())
+    return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.element_at(hashes, i).alias("hash")))
 
 
 def _near(found: DataFrame, hashed: DataFrame) -> DataFrame:
