@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagescope import registry as R
 from pagescope.functions import text as X
 from pagescope.functions import urls as U
+from pagescope.operators.hold import hold
 
 # Schema.org types and domains.
 IDENTITY_TYPES = ["organization", "corporation", "localbusiness", "person", "brand", "ngo", "governmentorganization", "educationalorganization", "newsmediaorganization"]
@@ -382,4 +383,4 @@ def with_check_rows(sites: DataFrame) -> DataFrame:
 
 def check_results(sites: DataFrame) -> DataFrame:
     """site_id, language and the check rows: 24 rows a site, unpivoted in place; nothing is shuffled here."""
-    return with_check_rows(sites).select("site_id", "language", F.inline("checks"))
+    return hold(with_check_rows(sites), "checks").select("site_id", "language", F.inline("checks"))

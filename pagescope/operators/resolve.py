@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescope import registry as R
 from pagescope.functions import text as X
+from pagescope.operators.hold import hold
 
 EXCLUDED = ["unknown", "not_applicable"]
 
@@ -32,35 +33,38 @@ def resolve_states(results: DataFrame, sites: DataFrame) -> DataFrame:
     maps = results.groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("check_id", fields))).alias("m"))
     blocked = F.coalesce(F.col("blocked_before_fetch"), F.lit(False)) if "blocked_before_fetch" in sites.columns else F.lit(False)
     rows = sites.select("site_id", X.language_supported(F.col("language"), R.SUPPORTED_LANGUAGES).alias("gate"), blocked.alias("blocked")).join(maps, "site_id", "left")
-    return with_resolved(rows).select("site_id", F.inline("resolved"))
+    return hold(with_resolved(rows), "resolved").select("site_id", F.inline("resolved"))
 
 
-def with_resolved(rows: DataFrame) -> DataFrame:
-    """rows with m (map of check_id to measured fields), gate and blocked: adds resolved, an array in registry order."""
-    by_level: dict[int, list[R.Check]] = {}
-    for c in R.CHECKS.values():
-        by_level.setdefault(R.LEVELS[c.check_id], []).append(c)
-    name = {c: f"c{i}" for i, c in enumerate(R.CHECKS)}
-    for level in sorted(by_level):
-        rows = rows.selectExpr("*", *[f"{_resolved(c, name)} AS {name[c.check_id]}" for c in by_level[level]])
-    return rows.withColumn("resolved", F.array(*[name[c] for c in R.CHECKS])).drop(*name.values())
+def _graph() -> Column:
+    """id, gated, verified, level and places of the prerequisites of each check, in registry order: one literal."""
+    place = {c: i for i, c in enumerate(R.CHECKS)}
+    rows = [{"id": c.check_id, "gated": c.requires_language, "verified": c.confidence_class == "verified", "level": R.LEVELS[c.check_id], "needs": [place[d] for d in sorted(c.depends_on)]} for c in R.CHECKS.values()]
+    return X.lit_rows(rows)
+
 
+def with_resolved(rows: DataFrame) -> DataFrame:
+    """rows with m (map of check_id to measured fields), gate and blocked: adds resolved, an array in registry order.
 
-def _resolved(c: R.Check, name: dict[str, str]) -> str:
-    """SQL of the resolved row of one check from m, gate, blocked and the resolved rows of its prerequisites."""
-    own = f"element_at(m, '{c.check_id}')"
-    causes = []
-    for d in sorted(c.depends_on):
-        if R.CHECKS[d].confidence_class == "verified":
-            causes.append(f"CASE WHEN {name[d]}.state = 'fail' THEN '{d}' END")
-        causes.append(f"{name[d]}.suppressed_by")
-    blocker = f"coalesce({', '.join(causes)}, NULL)" if causes else "CAST(NULL AS STRING)"
-    gated = "WHEN NOT gate THEN 'language_not_supported'" if c.requires_language else ""
-    stop = f"CASE WHEN blocked THEN 'blocked' {gated} WHEN {blocker} IS NOT NULL THEN 'suppressed_by_failed_prerequisite' END"
-    suppressed = f"CASE WHEN blocked THEN NULL {gated.replace(chr(39) + 'language_not_supported' + chr(39), 'NULL')} ELSE {blocker} END"
+    A check that is not stopped takes the cause of the first prerequisite, by id, that
+    failed and is verified, or that has a cause itself; level after level.
+    """
+    rows = rows.withColumn("_g", _graph()).withColumn("_s0", F.expr(
+        "transform(_g, c -> named_struct('check_id', c.id, 'stop', CASE WHEN blocked THEN 'blocked' WHEN c.gated AND NOT gate THEN 'language_not_supported' END, 'cause', CAST(NULL AS STRING), 'own', element_at(m, c.id)))"
+    ))
+    last = max(R.LEVELS.values())
+    rows = hold(rows, "_s0")
+    for n in range(1, last + 1):
+        s = f"_s{n - 1}"
+        failed = f"CASE WHEN _g[d].verified AND {s}[d].stop IS NULL AND {s}[d].cause IS NULL AND {s}[d].own.state = 'fail' THEN _g[d].id END"
+        cause = f"get(filter(flatten(transform(_g[i].needs, d -> array({failed}, {s}[d].cause))), x -> x IS NOT NULL), 0)"
+        rows = rows.withColumn(f"_s{n}", F.expr(f"transform({s}, (r, i) -> CASE WHEN r.stop IS NULL AND _g[i].level = {n} THEN named_struct('check_id', r.check_id, 'stop', r.stop, 'cause', {cause}, 'own', r.own) ELSE r END)"))
+        rows = hold(rows, f"_s{n}")
+    reason = "coalesce(r.stop, CASE WHEN r.cause IS NOT NULL THEN 'suppressed_by_failed_prerequisite' END, r.own.reason, CASE WHEN r.own IS NULL THEN 'not_measured' END)"
+    state = "coalesce(r.own.state, 'unknown')"
     fields = {
-        "check_id": f"'{c.check_id}'", "state": f"CASE WHEN {stop} IS NOT NULL THEN 'unknown' ELSE coalesce({own}.state, 'unknown') END", "original_state": f"coalesce({own}.state, 'unknown')",
-        "suppressed_by": suppressed, "reason": f"coalesce({stop}, {own}.reason, CASE WHEN {own} IS NULL THEN 'not_measured' END)",
-        **{f: f"{own}.{f}" for f in ("measurement", "evidence", "selector", "page_url")},
+        "check_id": "r.check_id", "state": f"CASE WHEN r.stop IS NOT NULL OR r.cause IS NOT NULL THEN 'unknown' ELSE {state} END", "original_state": state, "suppressed_by": "r.cause", "reason": reason,
+        **{f: f"r.own.{f}" for f in ("measurement", "evidence", "selector", "page_url")},
     }
-    return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())})"
+    out = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+    return rows.withColumn("resolved", F.expr(f"transform(_s{last}, r -> named_struct({out}))")).drop("_g", *[f"_s{n}" for n in range(last + 1)])

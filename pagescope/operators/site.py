@@ -20,6 +20,7 @@ from pagescope.operators import advise as A
 from pagescope.operators import checks as C
 from pagescope.operators import report as P
 from pagescope.operators import resolve as V
+from pagescope.operators.hold import hold
 
 #: What a site row may bring besides its pages, and what it has where it does not.
 OPTIONAL = {
@@ -28,14 +29,6 @@ OPTIONAL = {
 }
 
 
-def hold(rows: DataFrame, *names: str) -> DataFrame:
-    """The rows with these columns computed here: they leave a generator of one row, into which the optimizer does not look.
-
-    Without it the arrays of 24 expressions would be put in each of the places that read an entry.
-    """
-    return rows.select(*[c for c in rows.columns if c not in names], F.inline(F.array(F.struct(*names))))
-
-
 def with_checks(sites: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """Adds what is missing of OPTIONAL, checks (array in registry order) and resolved (array in registry order)."""
     for name, kind in OPTIONAL.items():
@@ -57,8 +50,7 @@ def _registry() -> Column:
          "threshold": json.dumps(R.THRESHOLDS[c.check_id], sort_keys=True) if c.check_id in R.THRESHOLDS else None}
         for c in R.CHECKS.values()
     ]
-    kinds = {"weight": "bigint", "verified": "boolean", "points": "double"}
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<" + ",".join(f"{k}:{kinds.get(k, 'string')}" for k in rows[0]) + ">>")
+    return X.lit_rows(rows)
 
 
 def with_scores(rows: DataFrame) -> DataFrame:
@@ -70,7 +62,7 @@ def with_scores(rows: DataFrame) -> DataFrame:
     }
     rows = rows.withColumn("_reg", _registry()).withColumn("_e", F.expr(f"zip_with(resolved, _reg, (r, c) -> named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in entry.items())}))")).drop("_reg")
     names = sorted(R.CATEGORIES)
-    of = lambda name: [f"aggregate(filter(_e, e -> e.category = '{name}'), 0L, (s, e) -> s + e.{k}) AS {k}" for k in list(entry)[1:]]
+    of = lambda name: [f"aggregate(filter(_e, e -> e.category = '{name}'), 0L, (s, e) -> s + cast(e.{k} AS bigint)) AS {k}" for k in list(entry)[1:]]
     rows = hold(rows.withColumn("_sums", F.expr("array(" + ", ".join(f"struct('{n}' AS category, {', '.join(of(n))})" for n in names) + ")")), "_sums").drop("_e")
     scored = "s -> struct(s.category, CASE WHEN s.scored > 0 THEN 100D * s.earned2 / (2 * s.scored) END AS score, s.scored / s.total AS coverage, s.scored, s.verified, s.evaluated, s.unknown)"
     rows = hold(rows.withColumn("categories", F.expr(f"transform(_sums, {scored})")).drop("_sums"), "categories")

@@ -295,8 +295,7 @@ def filler_hits(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _long(F.size(F.filter(words, lambda w: w.isin([*R.FILLERS, "the", "to", "of"])))).alias("hits"))
 
 
-@query("""SELECT doc_id, len(list_filter(range(2, len(t) + 1), lambda i: ascii(t[i]) BETWEEN 65 AND 90 AND length(t[i]) > 2 AND substring(t[i], 2) = lower(substring(t[i], 2)) AND regexp_matches(substring(t[i], 2), '[a-z]') AND ascii(t[i - 1]) BETWEEN 97 AND 122)) > 0 AS named
-FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''’\\-]*|[.!?]') AS t FROM documents)""")
+@query(f"SELECT doc_id, {Q.NAMED.format(t='t')} AS named FROM (SELECT doc_id, {Q.TOKENS.format(x=chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS t FROM documents)")
 def proper_nouns(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.has_proper_noun(F.col("text")).alias("named"))
 
@@ -427,55 +426,55 @@ def geometry_states(spark, sf_dir):
 # ---- resolution and scores over made-up states ------------------------------------------------------
 
 
-def _vectors(spark):
-    """(results, sites) of the made-up states."""
-    rows = spark.range(Q.SITES).withColumnRenamed("id", "i").join(F.broadcast(R.checks_frame(spark).select("check_id", "place")))
-    rows = rows.withColumn("site_id", F.concat(F.lit("s"), F.lpad(F.col("i").cast("string"), 4, "0"))).withColumn("state", F.expr(Q.STATE))
+def _vectors(spark, sf_dir):
+    """(results, sites) of made-up states, one site a customer."""
+    site = F.concat(F.lit("s"), F.lpad(F.col("i").cast("string"), 9, "0")).alias("site_id")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("i"))
+    rows = customers.select("i", site, F.posexplode(X.lit_array(list(R.CHECKS))).alias("place", "check_id")).withColumn("state", F.expr(Q.STATE))
     none = F.lit(None).cast("string")
     results = rows.filter("state IS NOT NULL").select("site_id", "check_id", "state", none.alias("measurement"), none.alias("evidence"), none.alias("selector"), none.alias("page_url"), none.alias("reason"))
-    sites = spark.range(Q.SITES).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("site_id"), F.when(F.col("id") % 3 != 0, "en").otherwise("de").alias("language"), (F.col("id") % 40 == 7).alias("blocked_before_fetch"))
-    return results, sites
+    return results, customers.select(site, F.when(F.col("i") % 3 != 0, "en").otherwise("de").alias("language"), (F.col("i") % 40 == 7).alias("blocked_before_fetch"))
 
 
-def _resolved(spark):
-    results, sites = _vectors(spark)
+def _resolved(spark, sf_dir):
+    results, sites = _vectors(spark, sf_dir)
     return resolve.resolve_states(resolve.bind(results)[0], sites)
 
 
 @query(f"WITH {Q.RESOLVED} SELECT site_id, check_id, state, original_state, suppressed_by, reason FROM res")
 def resolve_states(spark, sf_dir):
-    return _resolved(spark).select("site_id", "check_id", "state", "original_state", "suppressed_by", "reason")
+    return _resolved(spark, sf_dir).select("site_id", "check_id", "state", "original_state", "suppressed_by", "reason")
 
 
 @query(f"WITH {Q.SUMS} SELECT site_id, category, earned2, scored, verified, total, score, coverage FROM cs")
 def category_scores(spark, sf_dir):
-    return score.category_scores(_resolved(spark)).select("site_id", "category", "earned2", "scored", "verified", "total", "score", "coverage")
+    return score.category_scores(_resolved(spark, sf_dir)).select("site_id", "category", "earned2", "scored", "verified", "total", "score", "coverage")
 
 
 @query(f"WITH {Q.SUMS} SELECT site_id, round(sum(score * 25) / sum(CASE WHEN score IS NOT NULL THEN 25 END), 6) AS overall, round(sum(coverage * 25) / 100, 6) AS coverage, round(coalesce(sum(verified)::DOUBLE / nullif(sum(scored), 0), 0), 6) AS confidence, sum(evaluated)::BIGINT AS checks_evaluated, sum(unknown)::BIGINT AS checks_unknown FROM cs GROUP BY site_id")
 def site_scores(spark, sf_dir):
-    s = score.site_scores(_resolved(spark))
+    s = score.site_scores(_resolved(spark, sf_dir))
     return s.select("site_id", *[F.round(c, 6).alias(c) for c in ("overall", "coverage", "confidence")], "checks_evaluated", "checks_unknown")
 
 
 @query(f"WITH {Q.RESOLVED} SELECT category, coalesce(sum(weight * CASE state WHEN 'pass' THEN 2 WHEN 'partial' THEN 1 WHEN 'fail' THEN 0 END), 0)::BIGINT AS earned2, coalesce(sum(weight) FILTER (state IN ('pass', 'partial', 'fail')), 0)::BIGINT AS scored, count(*) AS checks FROM res GROUP BY ROLLUP (category)")
 def score_rollup(spark, sf_dir):
-    return score.score_rollup(_resolved(spark))
+    return score.score_rollup(_resolved(spark, sf_dir))
 
 
 @query(f"WITH {Q.FINDINGS} SELECT site_id, id, check_id, sev AS severity, pts AS points_recoverable FROM f")
 def findings(spark, sf_dir):
-    return report.findings(_resolved(spark)).select("site_id", "id", "check_id", "severity", "points_recoverable")
+    return report.findings(_resolved(spark, sf_dir)).select("site_id", "id", "check_id", "severity", "points_recoverable")
 
 
 @query(f"WITH {Q.FINDINGS} SELECT site_id, count(*) AS total_findings, count(*) FILTER (sev = 'critical') AS critical, count(*) FILTER (sev = 'high') AS high, count(*) FILTER (sev = 'medium') AS medium FROM f GROUP BY site_id")
 def severity_counts(spark, sf_dir):
-    return score.severity_counts(report.findings(_resolved(spark)))
+    return score.severity_counts(report.findings(_resolved(spark, sf_dir)))
 
 
 @query(f"WITH {Q.FINDINGS} SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY pts DESC, {Q.RANK}, id) AS rank, id AS finding_id, pts AS score_gain FROM f")
 def next_actions(spark, sf_dir):
-    return report.next_actions(report.findings(_resolved(spark))).select("site_id", _long(F.col("rank")).alias("rank"), "finding_id", "score_gain")
+    return report.next_actions(report.findings(_resolved(spark, sf_dir))).select("site_id", _long(F.col("rank")).alias("rank"), "finding_id", "score_gain")
 
 
 _CAUSES = "CASE suppressed_by " + " ".join(f"WHEN '{c.check_id}' THEN 'blocked by an earlier problem: {c.failure_title.lower()}'" for c in R.CHECKS.values()) + " END"
@@ -485,22 +484,22 @@ _CODES = "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.R
 @query(f"""WITH {Q.SUMS}, w AS (SELECT r.site_id, r.category, list_sort(list_distinct(list({_CAUSES}) FILTER (suppressed_by IS NOT NULL))) AS a, list_sort(list_distinct(list({_CODES}) FILTER (suppressed_by IS NULL AND reason IS NOT NULL))) AS b FROM res r GROUP BY ALL)
 SELECT site_id, category, coverage, array_to_string(list_slice(list_concat(coalesce(a, []), coalesce(b, [])), 1, 5), '; ') AS reasons FROM cs JOIN w USING (site_id, category) WHERE coverage < 0.5""")
 def not_checked(spark, sf_dir):
-    r = _resolved(spark)
+    r = _resolved(spark, sf_dir)
     return report.not_checked(r, score.category_scores(r)).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query(f"WITH {Q.SUMS} SELECT site_id, category, CASE WHEN score IS NULL OR coverage < 0.5 THEN '{R.UNMEASURED}' WHEN score >= 85 THEN 'Well prepared' WHEN score >= 60 THEN 'Partly prepared' ELSE 'Poorly prepared' END AS verdict FROM cs")
 def verdict_bands(spark, sf_dir):
-    return score.category_scores(_resolved(spark)).select("site_id", "category", report.verdict(F.col("score"), F.col("coverage")).alias("verdict"))
+    return score.category_scores(_resolved(spark, sf_dir)).select("site_id", "category", report.verdict(F.col("score"), F.col("coverage")).alias("verdict"))
 
 
-@query("SELECT 's' || lpad(CAST(i AS VARCHAR), 4, '0') AS site_id, CASE WHEN i % 40 = 7 THEN 'blocked' WHEN i % 5 = 1 THEN 'blocked' WHEN i % 5 = 2 THEN 'budget' WHEN i % 7 = 3 THEN 'analyzer_failed' WHEN i % 7 = 4 THEN 'render_failed' WHEN i % 5 = 3 THEN 'fetch_failed' END AS partial_reason FROM range(240) AS r(i)")
+@query("SELECT 's' || lpad(CAST(i AS VARCHAR), 9, '0') AS site_id, CASE WHEN i % 40 = 7 THEN 'blocked' WHEN i % 5 = 1 THEN 'blocked' WHEN i % 5 = 2 THEN 'budget' WHEN i % 7 = 3 THEN 'analyzer_failed' WHEN i % 7 = 4 THEN 'render_failed' WHEN i % 5 = 3 THEN 'fetch_failed' END AS partial_reason FROM (SELECT c_custkey AS i FROM customer) AS r")
 def partial_reason(spark, sf_dir):
-    _, sites = _vectors(spark)
+    _, sites = _vectors(spark, sf_dir)
     i = F.substr("site_id", F.lit(2)).cast("int")
     page = F.struct(F.when(i % 5 == 1, "blocked").when(i % 5 == 3, "error").otherwise("ok").alias("page_status"), F.when(i % 5 == 2, "budget").alias("skip_reason"))
     errors = sites.filter((i % 7).isin(3, 4)).select("site_id", F.when(i % 7 == 3, "analyze").otherwise("render").alias("stage"))
-    return report.partial_reason(sites.withColumn("pages", F.array(page)), _resolved(spark).filter("original_state <> 'unknown'"), errors)
+    return report.partial_reason(sites.withColumn("pages", F.array(page)), _resolved(spark, sf_dir).filter("original_state <> 'unknown'"), errors)
 
 
 # ---- the whole audit ---------------------------------------------------------------------------------
@@ -511,9 +510,36 @@ def check_results(spark, sf_dir):
     return A.audit(_pages(spark, sf_dir)).results
 
 
-@query()
+@query(f"WITH {Q.AUDITED} SELECT site_id, check_id, state, original_state, suppressed_by, reason FROM res")
+def audited_states(spark, sf_dir):
+    """Every check of every site of the pages after gates and prerequisites; the SQL measures them by the rules, without a tree."""
+    return A.audit(_pages(spark, sf_dir)).resolved.select("site_id", "check_id", "state", "original_state", "suppressed_by", "reason")
+
+
+_PIVOT = ", ".join(f"max(score) FILTER (category = '{n}') AS {n}" for n in R.CATEGORIES)
+_BANDS = f"CASE WHEN overall IS NULL OR coverage < 0.5 THEN '{R.UNMEASURED}' " + " ".join(f"WHEN overall >= {least} THEN '{said}'" for least, said in R.BANDS) + " END"
+
+
+@query(f"""WITH {Q.AUDITED}, o AS (SELECT site_id, sum(score * 25) / sum(CASE WHEN score IS NOT NULL THEN 25 END) AS overall, sum(coverage * 25) / 100 AS coverage, coalesce(sum(verified)::DOUBLE / nullif(sum(scored), 0), 0) AS confidence,
+ sum(evaluated)::BIGINT AS checks_evaluated, sum(unknown)::BIGINT AS checks_unknown, {_PIVOT} FROM cs GROUP BY site_id),
+n AS (SELECT site_id, count(*) AS total_findings, count(*) FILTER (sev = 'critical') AS critical, count(*) FILTER (sev = 'high') AS high, count(*) FILTER (sev = 'medium') AS medium FROM f GROUP BY site_id)
+SELECT site_id, round(overall, 6) AS overall, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, checks_evaluated, checks_unknown, {', '.join(f'round({n}, 6) AS {n}' for n in R.CATEGORIES)},
+ coalesce(total_findings, 0) AS total_findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, {_BANDS} AS verdict FROM o LEFT JOIN n USING (site_id)""")
 def site_scorecard(spark, sf_dir):
-    return site.scorecard(A.audit(_pages(spark, sf_dir)).sites)
+    card = site.scorecard(A.audit(_pages(spark, sf_dir)).sites)
+    return card.withColumns({c: F.round(c, 6) for c in ("overall", "coverage", "confidence", *R.CATEGORIES)})
+
+
+@query(f"WITH {Q.AUDITED} SELECT site_id, id, check_id, category, sev AS severity, pts AS points_recoverable FROM f")
+def audited_findings(spark, sf_dir):
+    rows = site.with_findings(A.audit(_pages(spark, sf_dir)).sites)
+    return rows.select("site_id", F.inline("findings")).select("site_id", "id", "check_id", "category", "severity", "points_recoverable")
+
+
+@query(f"WITH {Q.AUDITED} SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY pts DESC, {Q.RANK}, id) AS rank, id AS finding_id, sev AS severity, pts AS score_gain FROM f")
+def audited_actions(spark, sf_dir):
+    rows = site.with_findings(A.audit(_pages(spark, sf_dir)).sites)
+    return rows.select("site_id", F.inline("next_actions")).select("site_id", _long(F.col("rank")).alias("rank"), "finding_id", "severity", "score_gain")
 
 
 @query()
