@@ -93,27 +93,37 @@ def auditable(spark, sf_dir):
     return p.select("page_id", U.same_site(F.col("url"), F.col("other")).alias("same"), U.is_auditable(F.col("url"), F.col("other")).alias("auditable"))
 
 
-_URLS = ["https://a.example/x", "http://u:p@a.example/", "ftp://a.example/", "https://a.example:8443/", "http://a.example:80/x", "https:///x", "javascript:void(0)"]
+_GUARDED = "CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN 'http://u:p@' || rest WHEN 2 THEN 'ftp://' || rest WHEN 3 THEN 'https://' || host || ':8443/' WHEN 4 THEN 'http://' || host || ':80/x' WHEN 5 THEN 'https:///x' WHEN 6 THEN 'javascript:void(' || page_id || ')' ELSE 'https://' || repeat('a', 64) || '.example/' END"
 
 
-@query("SELECT * FROM (VALUES ('ftp://a.example/', 'ftp://a.example/', 'scheme'), ('http://a.example:80/x', 'http://a.example:80/x', NULL), ('http://u:p@a.example/', 'http://[REDACTED]@a.example/', 'userinfo'), ('https:///x', 'https:///x', 'host'), ('https://a.example/x', 'https://a.example/x', NULL), ('https://a.example:8443/', 'https://a.example:8443/', 'port'), ('javascript:void(0)', 'javascript:void(0)', 'scheme')) AS t(url, redacted, problem)")
+@query(rf"""SELECT page_id, regexp_replace(u, '^([a-z]+://)[^/@]*@', '\1[REDACTED]@') AS redacted, CASE WHEN NOT regexp_matches(u, '^https?:') THEN 'scheme' WHEN regexp_matches(u, '^https?://[^/?#]*@') THEN 'userinfo' WHEN regexp_matches(u, '^https?:///|[a-z]{{64}}') THEN 'host' WHEN regexp_matches(u, '^https?://[^/?#]*:[0-9]+') AND NOT regexp_matches(u, '^https?://[^/?#]*:(80|443)([/?#]|$)') THEN 'port' END AS problem
+FROM (SELECT page_id, {_GUARDED} AS u FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS rest, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages))""")
 def url_guard(spark, sf_dir):
-    return spark.createDataFrame([(u,) for u in _URLS], "url string").select("url", U.redact_url(F.col("url")).alias("redacted"), U.url_problem(F.col("url")).alias("problem"))
+    """The URLs of the pages, seven eighths of them made unsafe or odd."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://", "").alias("rest"), F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("host"))
+    u = F.expr(_GUARDED)
+    return p.select("page_id", U.redact_url(u).alias("redacted"), U.url_problem(u).alias("problem"))
 
 
-_IPS = {"93.184.216.34": True, "10.0.0.1": False, "127.0.0.1": False, "169.254.169.254": False, "224.0.0.1": False, "0.0.0.0": False, "::1": False, "fc00::1": False, "fe80::1": False, "::ffff:10.0.0.1": False, "2002:0a00:0001::1": False, "64:ff9b::0a00:0001": False, "64:ff9b::5db8:d822": True, "2606:2800:220:1::1": True, "not an ip": False}
+_IP4 = "CASE event_id % 12 WHEN 0 THEN '10.' WHEN 1 THEN '127.' WHEN 2 THEN '169.254.' WHEN 3 THEN '224.' WHEN 4 THEN '192.168.' WHEN 5 THEN '172.' WHEN 6 THEN '0.' WHEN 7 THEN '93.' WHEN 8 THEN '8.' WHEN 9 THEN '::ffff:10.' WHEN 10 THEN '2606:2800:' ELSE 'host-' END"
+_IP = f"CASE WHEN event_id % 12 IN (2, 4) THEN {_IP4} || CAST(event_id % 251 AS {{0}}) || '.' || CAST(event_id % 241 AS {{0}}) WHEN event_id % 12 = 10 THEN {_IP4} || CAST(event_id % 97 AS {{0}}) || '::1' ELSE {_IP4} || CAST(event_id % 251 AS {{0}}) || '.' || CAST(event_id % 241 AS {{0}}) || '.7' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _IPS.items()) + ") AS t(ip, safe)")
+@query(f"SELECT event_id, ip, event_id % 12 IN (7, 8, 10) OR (event_id % 12 = 5 AND event_id % 251 NOT BETWEEN 16 AND 31) AS safe FROM (SELECT event_id, {_IP.format('VARCHAR')} AS ip FROM events)")
 def ip_guard(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in _IPS], "ip string").select("ip", U.is_safe_ip(F.col("ip")).alias("safe"))
+    """An address a row: private, loopback, link-local, multicast, embedded, public, or none."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_IP.format("STRING")).alias("ip"))
+    return e.select("event_id", "ip", U.is_safe_ip(F.col("ip")).alias("safe"))
 
 
-@query("SELECT * FROM (VALUES ('text/html; charset=utf-8', 'gzip, br', true, 'br'), ('TEXT/HTML', 'GZIP', true, ''), ('application/pdf', '', false, ''), (NULL, NULL, false, '')) AS t(content_type, encoding, html, undecodable)")
+_TYPE = "CASE event_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'TEXT/HTML' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/xhtml+xml ;q=1' END"
+_CODING = "CASE event_id % 7 WHEN 0 THEN 'gzip, br' WHEN 1 THEN 'GZIP' WHEN 2 THEN '' WHEN 3 THEN 'zstd,br' WHEN 4 THEN 'deflate, identity' WHEN 5 THEN 'X-GZIP, exi' END"
+
+
+@query(f"SELECT event_id, event_id % 5 IN (0, 1, 3) AS html, CASE event_id % 7 WHEN 0 THEN 'br' WHEN 3 THEN 'zstd,br' WHEN 5 THEN 'exi' ELSE '' END AS undecodable FROM events")
 def response_filters(spark, sf_dir):
-    rows = [("text/html; charset=utf-8", "gzip, br"), ("TEXT/HTML", "GZIP"), ("application/pdf", ""), (None, None)]
-    d = spark.createDataFrame(rows, "content_type string, encoding string")
-    return d.select("content_type", "encoding", X.content_type_matches(F.col("content_type"), ["text/html", "application/xhtml+xml"]).alias("html"), F.array_join(X.undecodable_encodings(F.col("encoding")), ",").alias("undecodable"))
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_TYPE).alias("content_type"), F.expr(_CODING).alias("encoding"))
+    return d.select("event_id", X.content_type_matches(F.col("content_type"), ["text/html", "application/xhtml+xml"]).alias("html"), F.array_join(X.undecodable_encodings(F.col("encoding")), ",").alias("undecodable"))
 
 
 @query("SELECT doc_id, CASE WHEN length(x) > 300 THEN left(x, 300) || '…' ELSE x END AS clean FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x09\\x0B-\\x1F]', '', 'g'), '\\s+', ' ', 'g')) AS x FROM documents)")
@@ -139,10 +149,13 @@ def utc_stamps(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", X.utc_stamp(F.col("ts")).alias("stamp"), X.is_nav_timeout(message).alias("late"))
 
 
-@query("SELECT * FROM (VALUES ('Accept', 'text/html'), ('Authorization', '[REDACTED]'), ('cookie', '[REDACTED]')) AS t(name, value)")
+_HEADER = "CASE event_id % 6 WHEN 0 THEN 'Accept' WHEN 1 THEN 'Authorization' WHEN 2 THEN 'cookie' WHEN 3 THEN 'X-Event' WHEN 4 THEN 'SET-COOKIE' ELSE 'Proxy-Authorization' END"
+
+
+@query(f"SELECT event_id, {_HEADER} AS name, CASE WHEN event_id % 6 IN (0, 3) THEN event_type ELSE '[REDACTED]' END AS value FROM events")
 def redacted_headers(spark, sf_dir):
-    h = F.create_map(*[F.lit(x) for x in ("Accept", "text/html", "Authorization", "Bearer x", "cookie", "a=b")])
-    return spark.range(1).select(F.explode(X.redact_headers(h)).alias("name", "value"))
+    h = X.redact_headers(F.create_map(F.expr(_HEADER), F.col("event_type")))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.explode(h).alias("name", "value"))
 
 
 # ---- selection ----------------------------------------------------------------------
@@ -176,7 +189,7 @@ def blocked_kind(spark, sf_dir):
 
 def _page_checks(spark, sf_dir):
     raw = _pages(spark, sf_dir)
-    for name, (kind, value) in {"status": ("int", 200), "page_status": ("string", "ok"), "blocked_kind": ("string", None), "x_robots_tag": ("string", None), "rendered_html": ("string", None), "geometry": (pages.GEOMETRY, None)}.items():
+    for name, (kind, value) in pages.DEFAULTS.items():
         raw = raw.withColumn(name, F.lit(value).cast(kind))
     return pages.with_features(raw.withColumn("pos", F.lit(0))).select("page_id", pages.page_row().alias("p"))
 
@@ -306,13 +319,19 @@ def vague_markers(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _long(F.size(F.filter(m, lambda x: F.contains(F.lower("text"), x)))).alias("markers"))
 
 
-_NAMES = [("Harbourline", "Harbourline | Ferries and freight in the western isles", True), ("Tessellate", "Quarrystone", False), ("京都製作所", "京都製作所", True), ("京都製作所", "大阪商店", False), ("Tern & Co.", "TERN, co", True), ("Λευκός Οίκος", "Λευκός", True), ("Olga's Tea Room – Ghent", "olgas tea room", True), ("Six", "Seven · Eight", False)]
+_OWN = f"{Q._forms('title')}"
+_OTHER = f"{Q._forms('other')}"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}', {})".format(a.replace("'", "''"), b.replace("'", "''"), str(v).lower()) for a, b, v in _NAMES) + ") AS t(a, b, agree)")
+@query(f"""WITH {Q.PAGES}, t AS (SELECT page_id, {Q.TITLE} AS title FROM p), n AS (SELECT t.page_id, t.title, CASE t.page_id % 4 WHEN 0 THEN translate(t.title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' | Shop' WHEN 1 THEN o.title WHEN 2 THEN left(t.title, 12) || ' – 京都製作所' ELSE '京都製作所' END AS other FROM t LEFT JOIN t AS o ON o.page_id = t.page_id + 1)
+SELECT page_id, len(list_filter({_OWN}, lambda x: len(list_filter({_OTHER}, lambda y: contains(x, y) OR contains(y, x))) > 0)) > 0 AS agree FROM n""")
 def names_agree(spark, sf_dir):
-    d = spark.createDataFrame([(a, b) for a, b, _ in _NAMES], "a string, b string")
-    return d.select("a", "b", X.names_agree(F.col("a"), F.col("b")).alias("agree"))
+    """Each page's title beside itself in capitals, the next page's, a beginning of it, and a name in another script."""
+    t = _pages(spark, sf_dir).select("page_id", H.page_features(F.col("html")).alias("f")).select("page_id", F.col("f.title").alias("title"))
+    t = t.join(t.select((F.col("page_id") - 1).alias("page_id"), F.col("title").alias("after")), "page_id", "left")
+    k = F.col("page_id") % 4
+    other = F.when(k == 0, F.concat(F.translate("title", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" | Shop"))).when(k == 1, F.col("after")).when(k == 2, F.concat(F.substr("title", F.lit(1), F.lit(12)), F.lit(" – 京都製作所"))).otherwise("京都製作所")
+    return t.select("page_id", X.names_agree(F.col("title"), other).alias("agree"))
 
 
 # ---- entities -------------------------------------------------------------------------------
@@ -353,13 +372,16 @@ def sameas_links(spark, sf_dir):
     return links.select("page_id", _long(F.size("l.declared")).alias("declared"), _long(F.size("l.rel_me")).alias("rel_me"))
 
 
-_LINKS = {"https://www.wikidata.org/wiki/Q1": ("authority", False), "https://en.wikipedia.org/wiki/X": ("authority", False), "https://m.facebook.com/acme": ("social", False), "https://www.facebook.com/sharer/sharer.php?u=https://x.example": ("social", True), "https://notfacebook.com/acme": ("other", False), "https://blog.example.org/a?x=1&url=http://b": ("other", True), "https://twitter.com/intent/tweet": ("social", True)}
+_TARGETS = ["https://www.wikidata.org/wiki/Q", "https://en.wikipedia.org/wiki/X", "https://m.facebook.com/p", "https://www.facebook.com/sharer/sharer.php?u=https://x.example/", "https://notfacebook.com/p", "https://blog.example.org/a?x=1&url=http://b/", "https://twitter.com/intent/tweet?n=", "https://uk.linkedin.com/company/c", "mailto:a", "https://WWW.GitHub.com/o"]
+_KINDS = ["authority", "authority", "social", "social", "other", "other", "social", "authority", None, "authority"]
+_TARGET = "CASE page_id % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TARGETS)) + " END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', {str(s).lower()})" for k, (c, s) in _LINKS.items()) + ") AS t(url, kind, share)")
+@query(f"SELECT page_id, CASE page_id % 10 {' '.join(f'WHEN {i} THEN {chr(39)}{k}{chr(39)}' for i, k in enumerate(_KINDS) if k)} END AS kind, page_id % 10 IN (3, 5, 6) AS share FROM pages")
 def link_kinds(spark, sf_dir):
-    d = spark.createDataFrame([(k,) for k in _LINKS], "url string")
-    return d.select("url", checks.link_class(F.col("url")).alias("kind"), checks.is_share_link(F.col("url")).alias("share"))
+    """Subdomains of listed domains, names that only end like one, share links, and what is no web address."""
+    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.expr(_TARGET), F.col("page_id").cast("string")).alias("url"))
+    return d.select("page_id", checks.link_class(F.col("url")).alias("kind"), checks.is_share_link(F.col("url")).alias("share"))
 
 
 @query(f"""WITH h AS (SELECT DISTINCT page_id, {Q.HOST} AS host FROM pages), d AS (SELECT unnest({Q.quoted(['example.com', 'example.net'])}) AS domain)
@@ -402,25 +424,24 @@ def cta_above_fold(spark, sf_dir):
     return _fold_state(spark, sf_dir, ["a", "button"])
 
 
-_GEO = [
-    ("good", (800.0, 16.0, [("h1", 40.0)], [("a", 90.0)], [("div", 0.1)]), ("pass", "pass", "pass", "pass")),
-    ("deep", (800.0, 11.0, [("h1", 2400.0)], [("button", 100.0)], []), ("fail", "pass", "pass", "fail")),
-    ("covered", (800.0, 14.0, [("h1", 10.0)], [], [("div", 0.85), ("p", 0.2)]), ("pass", "fail", "fail", "pass")),
-    ("unmeasured", None, ("fail", "fail", "unknown", "unknown")),
-]
+_MEASURED = "page_id % 6 <> 0"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(n, "', '".join(s)) for n, _, s in _GEO) + ") AS t(name, heading, cta, obstructed, legible)")
+@query(f"""SELECT page_id, CASE WHEN {_MEASURED} AND page_id * 37 % 1600 < 800 THEN 'pass' ELSE 'fail' END AS heading, CASE WHEN {_MEASURED} AND page_id * 53 % 1600 < 800 AND page_id % 9 <> 4 THEN 'pass' ELSE 'fail' END AS cta,
+CASE WHEN page_id % 13 = 5 THEN 'fail' WHEN NOT ({_MEASURED}) THEN 'unknown' WHEN page_id % 10 > 4 THEN 'fail' ELSE 'pass' END AS obstructed, CASE WHEN NOT ({_MEASURED}) THEN 'unknown' WHEN 10 + page_id % 8 >= 14 THEN 'pass' ELSE 'fail' END AS legible FROM pages""")
 def geometry_states(spark, sf_dir):
-    rows = []
-    for name, g, _ in _GEO:
-        geo = g and (g[0], 1280.0, g[1], "text", [(t, y, t, 20.0) for t, y in g[2]], [(t, y, t, 20.0) for t, y in g[3]], [(t, c, 0.0) for t, c in g[4]])
-        rows.append((name, "u", geo, None, "<html><body><p>text</p></body></html>"))
-    d = spark.createDataFrame(rows, f"name string, url string, geometry {pages.GEOMETRY}, blocked_kind string, html string")
-    p = F.struct("url", "geometry", "blocked_kind", H.page_features(F.col("html")).alias("f"))
-    d = d.select("name", p.alias("p"))
+    """A made-up layout for each page: places of a heading and a link, an overlay, a font size; every sixth has none."""
+    entry = lambda tag, top, text: F.struct(F.lit(tag).alias("tag"), top.cast("double").alias("top"), text.alias("text"), F.lit(20.0).alias("font_px"))
+    i = F.col("page_id")
+    g = F.struct(
+        F.lit(800.0).alias("viewport_height"), F.lit(1280.0).alias("viewport_width"), (10 + i % 8).cast("double").alias("body_font_px"), F.lit("text").alias("above_fold_text"),
+        F.array(entry("h1", i * 37 % 1600, F.lit("h1"))).alias("headings"), F.array(entry("a", i * 53 % 1600, F.when(i % 9 == 4, " ").otherwise("more"))).alias("interactive"),
+        F.array(F.struct(F.lit("p").alias("tag"), F.lit(0.05).alias("coverage"), F.lit(0.0).alias("top")), F.struct(F.lit("div").alias("tag"), ((i % 10) / 10.0).alias("coverage"), F.lit(0.0).alias("top"))).alias("overlays"),
+    ).cast(pages.GEOMETRY)
+    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.when(F.expr(_MEASURED), g).alias("geometry"), F.when(i % 13 == 5, "captcha").alias("blocked_kind"), F.lit("<html><body><p>text</p></body></html>").alias("html"))
+    d = d.select("page_id", F.struct("url", "geometry", "blocked_kind", H.page_features(F.col("html")).alias("f")).alias("p"))
     pick = {"heading": checks.heading_first_viewport, "cta": checks.primary_cta, "obstructed": checks.not_obstructed, "legible": checks.legibility}
-    return d.select("name", *[fn(F.col("p"))["state"].alias(k) for k, fn in pick.items()])
+    return d.select("page_id", *[fn(F.col("p"))["state"].alias(k) for k, fn in pick.items()])
 
 
 # ---- resolution and scores over made-up states ------------------------------------------------------
@@ -591,15 +612,14 @@ def observed_brands(spark, sf_dir):
     return s.select("site_id", F.element_at(v, "BRAND_NAME").alias("brand"), F.element_at(v, "SITE_URL").alias("site_url"))
 
 
-_FILLS = [("Hello {{A}} and {{B}}, {{A}}", "Hello x and {{B}}, x"), ("none", "none"), ("{{C}}", "{{A}}"), ("{{D}}{{A}}", "{{D}}x")]
+_TEMPLATE = "CASE c_custkey % 5 WHEN 0 THEN 'Hello {{A}} and {{B}}, {{A}}' WHEN 1 THEN 'none' WHEN 2 THEN '{{C}}' WHEN 3 THEN '{{D}}{{A}}' ELSE '{{A}}{{B}}{{B}}{{C}}' END"
 
 
-@query("SELECT * FROM (VALUES ('Hello {{A}} and {{B}}, {{A}}', 'Hello x and {{B}}, x', '{{B}}'), ('none', 'none', ''), ('{{C}}', '{{A}}', ''), ('{{D}}{{A}}', '{{D}}x', '{{D}}')) AS t(template, filled, remaining)")
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Hello ' || c_name || ' and {{B}}, ' || c_name WHEN 1 THEN 'none' WHEN 2 THEN '{{A}}' WHEN 3 THEN '{{D}}' || c_name ELSE c_name || '{{B}}{{B}}{{A}}' END AS filled, CASE c_custkey % 5 WHEN 0 THEN '{{B}}' WHEN 3 THEN '{{D}}' WHEN 4 THEN '{{B}}' ELSE '' END AS remaining FROM customer")
 def template_fill(spark, sf_dir):
     """One pass: the value of C holds a placeholder and is not filled again."""
-    d = spark.createDataFrame([(t,) for t, _ in _FILLS], "template string")
-    v = F.create_map(F.lit("A"), F.lit("x"), F.lit("C"), F.lit("{{A}}"), F.lit("D"), F.lit(""))
-    return d.select("template", X.fill(F.col("template"), v).alias("filled"), F.array_join(X.placeholders_left(F.col("template"), v), ",").alias("remaining"))
+    d = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.expr(_TEMPLATE).alias("template"), F.create_map(F.lit("A"), F.col("c_name"), F.lit("C"), F.lit("{{A}}"), F.lit("D"), F.lit("")).alias("v"))
+    return d.select("c_custkey", X.fill(F.col("template"), F.col("v")).alias("filled"), F.array_join(X.placeholders_left(F.col("template"), F.col("v")), ",").alias("remaining"))
 
 
 @query()
@@ -632,34 +652,32 @@ def suppressed_detectors(spark, sf_dir):
 # ---- robots, sitemaps, quality -----------------------------------------------------------------------------
 
 
-_ROBOTS = [
-    ("allow all", 200, "User-agent: *\nAllow: /", True, True, ""),
-    ("two blocked", 200, "User-agent: GPTBot\nDisallow: /\n\nUser-agent: ClaudeBot\nDisallow: /\n\nUser-agent: *\nAllow: /", True, True, "ClaudeBot,GPTBot"),
-    ("auditor blocked", 200, "User-agent: PagescopeBot\nDisallow: /\n", False, True, ""),
-    ("missing", 404, None, True, True, ""),
-    ("broken", 503, None, False, False, ""),
-    ("unreachable", None, None, False, False, ""),
-]
+_RULES = "CASE page_id % 7 WHEN 0 THEN 'User-agent: *\nAllow: /' WHEN 1 THEN 'User-agent: GPTBot\nDisallow: /\n\nUser-agent: ClaudeBot\nDisallow: /\n\nUser-agent: *\nAllow: /' WHEN 2 THEN 'User-agent: PagescopeBot\nDisallow: /\n' WHEN 6 THEN 'User-agent: CCBot\nDisallow: /en\n' END"
+_STATUS = "CASE page_id % 7 WHEN 3 THEN 404 WHEN 4 THEN 503 WHEN 5 THEN NULL ELSE 200 END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(a).lower()}, {str(d).lower()}, '{b}')" for n, _, _, a, d, b in _ROBOTS) + ") AS t(name, allowed, determinable, blocked)")
+@query(f"SELECT page_id, page_id % 7 NOT IN (2, 4, 5) AS allowed, page_id % 7 NOT IN (4, 5) AS determinable, CASE page_id % 7 WHEN 1 THEN 'ClaudeBot,GPTBot' WHEN 6 THEN CASE WHEN starts_with({Q.PATH}, '/en') THEN 'CCBot' ELSE '' END ELSE '' END AS blocked FROM pages")
 def robots_matrix(spark, sf_dir):
-    d = spark.createDataFrame([(n, s, t) for n, s, t, *_ in _ROBOTS], "name string, status int, text string")
-    r = d.select("name", crawl.robots(F.col("status"), F.col("text"), F.lit("https://a.example/")).alias("r"))
-    return r.select("name", "r.allowed", "r.determinable", F.array_join(crawl.blocked_crawlers(F.col("r.ai")), ",").alias("blocked"))
-
+    d = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.expr(_STATUS).cast("int").alias("status"), F.expr(_RULES).alias("text"), "url")
+    r = d.select("page_id", crawl.robots(F.col("status"), F.col("text"), F.col("url")).alias("r"))
+    return r.select("page_id", "r.allowed", "r.determinable", F.array_join(crawl.blocked_crawlers(F.col("r.ai")), ",").alias("blocked"))
 
-_SET = b'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/1</loc></url><url><loc>https://a.example/2</loc></url></urlset>'
-_INDEX = b"<sitemapindex><sitemap><loc>https://a.example/s1.xml</loc></sitemap></sitemapindex>"
 
-
-@query("SELECT * FROM (VALUES ('urlset', 'https://a.example/1,https://a.example/2', ''), ('index', '', 'https://a.example/s1.xml'), ('gzip', 'https://a.example/1,https://a.example/2', ''), ('malformed', '', ''), ('empty', '', '')) AS t(name, pages, children)")
+@query(f"""WITH s AS (SELECT {Q.HOST} AS site_id, url, row_number() OVER (PARTITION BY {Q.HOST} ORDER BY page_id) AS n, min(page_id) OVER (PARTITION BY {Q.HOST}) % 4 AS kind FROM pages)
+SELECT site_id, coalesce(string_agg(url, ',' ORDER BY n) FILTER (kind IN (0, 2) AND n <= 500), '') AS pages, coalesce(string_agg(url, ',' ORDER BY n) FILTER (kind = 1 AND n <= 500), '') AS children FROM s GROUP BY site_id""")
 def sitemap_urls(spark, sf_dir):
-    import gzip
-
-    rows = [("urlset", bytearray(_SET)), ("index", bytearray(_INDEX)), ("gzip", bytearray(gzip.compress(_SET))), ("malformed", bytearray(b"<urlset><url>")), ("empty", None)]
-    d = spark.createDataFrame(rows, "name string, raw binary").select("name", crawl.sitemap(F.col("raw")).alias("s"))
-    return d.select("name", F.array_join("s.pages", ",").alias("pages"), F.array_join("s.children", ",").alias("children"))
+    """A sitemap for each site of the table: a set of its URLs, an index of them, a set with blanks and another name space, or a text that ends too early."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("site_id", U.host_of(F.col("url")))
+    s = p.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("l"), (F.min("page_id") % 4).alias("kind"))
+    loc = lambda tag, gap: F.array_join(F.transform("l", lambda x: F.concat(F.lit(f"<{tag}><loc>{gap}"), F.replace(x["url"], F.lit("&"), F.lit("&amp;")), F.lit(f"{gap}</loc></{tag}>"))), "")
+    text = (
+        F.when(F.col("kind") == 0, F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc("url", ""), F.lit("</urlset>")))
+        .when(F.col("kind") == 1, F.concat(F.lit("<sitemapindex>"), loc("sitemap", ""), F.lit("</sitemapindex>")))
+        .when(F.col("kind") == 2, F.concat(F.lit('<x:urlset xmlns:x="urn:any">'), F.replace(F.replace(loc("url", " "), F.lit("<"), F.lit("<x:")), F.lit("<x:/"), F.lit("</x:")), F.lit("</x:urlset>")))
+        .otherwise(F.concat(F.lit("<urlset>"), loc("url", "")))
+    )
+    s = s.select("site_id", crawl.sitemap(F.encode(text, "UTF-8")).alias("s"))
+    return s.select("site_id", F.array_join("s.pages", ",").alias("pages"), F.array_join("s.children", ",").alias("children"))
 
 
 @query("SELECT * FROM (VALUES ('s', 'https://a.example/', 'homepage', 0), ('s', 'https://a.example/x', 'nav', 1), ('s', 'https://a.example/x/y', 'nav', 2), ('s', 'https://a.example/z', 'sitemap', 3)) AS t(site_id, url, source, pos)")
@@ -670,11 +688,19 @@ def candidate_selection(spark, sf_dir):
     return pages.select_candidates(candidates, spark.createDataFrame([("s", "https://a.example")], "site_id string, url string"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 2, 2, 0, 1.0::DOUBLE, 1.0::DOUBLE), ('b', 2, 1, 1, 1, 0.5::DOUBLE, 0.5::DOUBLE), ('c', 0, 0, 1, 0, 1.0::DOUBLE, 1.0::DOUBLE), (NULL, 4, 3, 4, 1, 0.75::DOUBLE, 0.75::DOUBLE)) AS t(fixture, must_find, found, must_not_find, wrong, recall, precision)")
+_CASE = "SELECT CAST(c_custkey % 20 AS {0}) AS fixture, c_custkey % 7 AS a, c_custkey % 5 AS b, c_custkey % 11 AS c FROM customer"
+
+
+@query(f"""WITH t AS ({_CASE.format('VARCHAR')}), m AS (SELECT DISTINCT fixture, 'check' || a AS k FROM t WHERE b < 3), w AS (SELECT DISTINCT fixture, 'check' || a AS k FROM t WHERE b = 4 AND c < 2), g AS (SELECT DISTINCT fixture, 'check' || a AS k FROM t WHERE c <> 5),
+r AS (SELECT f.fixture, (SELECT count(*) FROM m WHERE m.fixture = f.fixture) AS must_find, (SELECT count(*) FROM m JOIN g USING (fixture, k) WHERE m.fixture = f.fixture) AS found, (SELECT count(*) FROM w WHERE w.fixture = f.fixture) AS must_not_find, (SELECT count(*) FROM w JOIN g USING (fixture, k) WHERE w.fixture = f.fixture) AS wrong FROM (SELECT DISTINCT fixture FROM t) AS f),
+a AS (SELECT fixture, sum(must_find)::BIGINT AS must_find, sum(found)::BIGINT AS found, sum(must_not_find)::BIGINT AS must_not_find, sum(wrong)::BIGINT AS wrong FROM r GROUP BY ROLLUP (fixture))
+SELECT *, CASE WHEN must_find > 0 THEN found::DOUBLE / must_find ELSE 1.0::DOUBLE END AS recall, CASE WHEN found + wrong > 0 THEN found::DOUBLE / (found + wrong) ELSE 1.0::DOUBLE END AS precision FROM a""")
 def precision_recall(spark, sf_dir):
-    labels = spark.createDataFrame([("a", ["x", "y"], ["z", "w"]), ("b", ["x", "y"], ["z"]), ("c", [], ["x"])], "fixture string, must_find array<string>, must_not_find array<string>")
-    got = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"), ("a", "x")], "fixture string, check_id string")
-    return quality.precision_recall(labels, got)
+    """Labels and reports of twenty fixtures made from the customers."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("pagescope_customer")
+    t = spark.sql(_CASE.format("STRING").replace("FROM customer", "FROM pagescope_customer")).withColumn("k", F.concat(F.lit("check"), F.col("a").cast("string")))
+    labels = t.groupBy("fixture").agg(F.collect_set(F.when(F.col("b") < 3, F.col("k"))).alias("must_find"), F.collect_set(F.when((F.col("b") == 4) & (F.col("c") < 2), F.col("k"))).alias("must_not_find"))
+    return quality.precision_recall(labels, t.filter("c <> 5").select("fixture", F.col("k").alias("check_id")))
 
 
 # ---- events: windows that the streaming mode uses, in batch form -----------------------------------------------
