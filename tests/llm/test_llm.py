@@ -579,6 +579,46 @@ def test_secret_scan_recall_of_planted_keys(letters):
         assert found >= 36, (letters, n, found)
 
 
+def brute_pipeline(docs, bench, learned):
+    """documents -> {(doc_id, text): ids} by plain Python; learned tells which texts the language model keeps."""
+    split = lambda t: [w for w in "".join(c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in lower(t or "")).split(" ") if w]
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(byte_bpe.load_ranks(RANKS))}, special_tokens={})
+    rows = [r for r in docs if learned(r[1])]
+    groups = brute_groups([(i, r[1]) for i, r in enumerate(rows)], 5, 80)
+    best = {}
+    for i, r in enumerate(rows):
+        if groups[i][0]:
+            best.setdefault(groups[i][1], []).append((r[0] is None, r[0] or 0, i))
+    keep = {min(g)[2] for g in best.values()} | {i for i in range(len(rows)) if not groups[i][0]}
+    rows = [r for i, r in enumerate(rows) if i in keep]
+    windows = {tuple(w[i : i + min(10, len(w))]) for t in bench if (w := split(t)) for i in range(len(w) - min(10, len(w)) + 1)}
+    clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    rows = [r for r in rows if clean(split(r[1]))]
+    return collections.Counter((r[0], tuple(own.encode_ordinary(secret_scan.redact(r[1], secret_scan.scan(r[1])[1])))) for r in rows)
+
+
+def test_pipeline_from_documents_to_ids(spark, tmp_path):
+    """The whole pipeline on a part of the test table, with ties, repeated rows, missing ids and clashing columns, against brute force."""
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(120).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in some]
+    rows += [(None, rows[3][1], "en"), (rows[5][0], rows[9][1], "fr"), (7777, rows[4][1] + " more", "en"), (8888, "password: hunter2hunter2 " + rows[6][1], "en"), (9999, None, "en"), (9998, "", None), (9997, "123 !!", "de"), *[(i, FOREIGN[i % 4], None) for i in (5000, 5001)]]
+    bench = [" ".join(rows[8][1].split()[2:14]), None, ""]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for n, c in enumerate(("source", "n_chars", "lang_pred", "rejected", "class", "row", "_away", "_dirty", "spans", "w")):
+        d = d.withColumn(c, F.lit(n))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(bench)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = language_id.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    got = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == brute_pipeline(rows, bench, lambda t: not model.predict(t)[2]) and sum(got.values()) > 50
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, "d e a c b a e d c b a b"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
