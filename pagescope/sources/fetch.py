@@ -11,13 +11,18 @@ import socket
 import ssl
 import time
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pagescope.functions.urls import safe_ip
+from pagescope.functions.urls import host_of, safe_ip
 
 # Bounds of a fetch.
 MAX_BODY, MAX_INFLATED, MAX_REDIRECTS, CONNECT_S, READ_S = 5 * 1024 * 1024, 20 * 1024 * 1024, 5, 10, 15
@@ -39,6 +44,7 @@ class Response:
     status: int
     headers: dict = field(default_factory=dict)
     read: Callable[[int], bytes] = lambda n: b""
+    close: Callable[[], None] = lambda: None
 
 
 def check_url(url: str, resolve=None) -> tuple[str, str, int, str]:
@@ -69,14 +75,23 @@ def _addresses(host: str, port: int) -> list[str]:
 def _connect(scheme: str, host: str, port: int, address: str, target: str, agent: str) -> Response:
     """A request to the very address that was checked."""
     sock = socket.create_connection((address, port), CONNECT_S)
-    sock.settimeout(READ_S)
-    if scheme == "https":
-        sock = ssl.create_default_context().wrap_socket(sock, server_hostname=host)
-    link = http.client.HTTPConnection(host, port)
-    link.sock = sock
-    link.request("GET", target, headers={"User-Agent": agent, "Accept": "text/html,*/*;q=0.1", "Accept-Encoding": "gzip, deflate"})
-    got = link.getresponse()
-    return Response(got.status, {k.lower(): v for k, v in got.getheaders()}, got.read)
+    try:
+        sock.settimeout(READ_S)
+        if scheme == "https":
+            sock = ssl.create_default_context().wrap_socket(sock, server_hostname=host)
+        link = http.client.HTTPConnection(host, port)
+        link.sock = sock
+        link.request("GET", target, headers={"User-Agent": agent, "Accept": "text/html,*/*;q=0.1", "Accept-Encoding": "gzip, deflate"})
+        got = link.getresponse()
+    except BaseException:
+        sock.close()
+        raise
+
+    def close() -> None:
+        got.close()
+        link.close()
+
+    return Response(got.status, {k.lower(): v for k, v in got.getheaders()}, got.read, close)
 
 
 def read_capped(r: Response, deadline: float) -> bytes:
@@ -106,8 +121,11 @@ def safe_get(url: str, agent: str = "PagescopeBot/0.1", budget_s: float = 30.0,
     """One row of SCHEMA; never raises."""
     began, at, seen = time.monotonic(), url, set()
     row = dict.fromkeys(("status", "content_type", "html", "byte_size", "error_kind"), None) | {"url": url, "final_url": url, "headers": {}}
+    r = None
     try:
         for _ in range(MAX_REDIRECTS + 1):
+            if r is not None:
+                r.close()
             if at in seen:
                 raise Refused("fetch", "redirects form a loop")
             seen.add(at)
@@ -135,9 +153,48 @@ def safe_get(url: str, agent: str = "PagescopeBot/0.1", budget_s: float = 30.0,
         row["error_kind"] = "network"
     except Exception:
         row["error_kind"] = "unexpected"
+    finally:
+        if r is not None:
+            r.close()
     return row | {"fetch_ms": int((time.monotonic() - began) * 1000)}
 
 
+_COLUMNS = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
+
+
+def fetch_table(urls: DataFrame, hosts: int | None = None, agent: str = "PagescopeBot/0.1", get: Callable[..., dict] = safe_get, types=HTML_TYPES, budget_s: float = 270.0) -> DataFrame:
+    """url (and delay, seconds between two requests to a host) -> a row of SCHEMA each, fetched where the rows are.
+
+    URLs of a host are fetched one after the other in one task, in the order of place if
+    there is one. What is left when the host's budget of seconds is spent has the error
+    `budget`. Repeated URLs are fetched once.
+    """
+    for name, kind in (("delay", "double"), ("place", "long")):
+        if name not in urls.columns:
+            urls = urls.withColumn(name, F.lit(None).cast(kind))
+    rows = urls.groupBy("url").agg(F.max("delay").alias("delay"), F.min("place").alias("place")).withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    parts = hosts or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "host").sortWithinPartitions("host", F.asc_nulls_last("place"), "url").select("host", "url", "delay")
+
+    schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, began = None, 0.0
+        for batch in it:
+            for host, url, delay in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if host != at:
+                    at, began = host, time.monotonic()
+                elif delay:
+                    time.sleep(min(delay, max(0.0, budget_s - (time.monotonic() - began))))
+                if time.monotonic() - began >= budget_s:
+                    row = dict.fromkeys(_COLUMNS) | {"url": url, "final_url": url, "headers": {}, "error_kind": "budget"}
+                else:
+                    row = get(url, agent=agent, types=types)
+                yield pa.RecordBatch.from_pylist([{c: list(row[c].items()) if c == "headers" else row[c] for c in _COLUMNS}], schema)
+
+    return rows.mapInArrow(batches, SCHEMA)
+
+
 class HttpPages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -168,7 +225,6 @@ class _HttpReader(DataSourceReader):
         return [_HostPartition(v) for v in hosts.values()]
 
     def read(self, partition: _HostPartition):
-        order = [c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
         for u in partition.urls:
             row = safe_get(u)
-            yield tuple(row[c] for c in order)
+            yield tuple(row[c] for c in _COLUMNS)

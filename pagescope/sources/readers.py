@@ -71,7 +71,7 @@ def read_html_files(spark: SparkSession, path: str, max_bytes: int = 20 * 1024 *
 
 def page_entry(fetched: DataFrame) -> DataFrame:
     """Fetched rows -> page rows: status, skip reason and digest of the body."""
-    s = F.when(F.col("error_kind").isin("unsafe_url", "content_type", "too_large", "content_encoding"), "skipped").when(F.col("error_kind").isNotNull(), "error").otherwise("ok")
+    s = F.when(F.col("error_kind").isin("unsafe_url", "content_type", "too_large", "content_encoding", "budget"), "skipped").when(F.col("error_kind").isNotNull(), "error").otherwise("ok")
     return fetched.withColumns({"page_status": s, "skip_reason": F.when(s == "skipped", F.col("error_kind")), "html_sha256": F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256), "x_robots_tag": F.element_at("headers", "x-robots-tag")})
 
 

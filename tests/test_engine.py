@@ -347,6 +347,44 @@ def test_artifacts_reach_the_report(spark, tmp_path):
     assert all(f[k] for k in ("signal", "impact", "plain_summary", "evidence")) and "facts_in_prose" in d["advisor"]["gated"]
 
 
+def test_sites_are_crawled_as_tables(spark, tmp_path):
+    from pagescope.sources.crawl import crawl_sites
+
+    page = lambda body: f"<html lang=en><title>A page of some length</title><body>{body}<p>text</p></body></html>"
+    web = {
+        "https://a.example/robots.txt": "User-agent: GPTBot\nDisallow: /\nSitemap: https://a.example/map.xml", "https://a.example/": page('<nav><a href="/one">1</a><a href="/two#x">2</a><a href="https://b.example/">b</a><a href="/lost">l</a></nav>'),
+        "https://a.example/one": page("one"), "https://a.example/two": page("two"), "https://a.example/map.xml": "<urlset><url><loc>https://a.example/three</loc></url></urlset>", "https://a.example/three": page("three"),
+        "https://b.example/robots.txt": "User-agent: *\nDisallow: /", "https://b.example/": page("never read"),
+    }
+
+    def get(url, agent, types):
+        found = web.get(url)
+        row = dict.fromkeys(("status", "content_type", "html", "byte_size", "error_kind"), None) | {"url": url, "final_url": url, "headers": {"x-robots-tag": "none"}, "fetch_ms": 2}
+        return row | ({"status": 200, "html": found} if found is not None else {"error_kind": "network"} if "lost" in url else {"status": 404, "html": ""})
+
+    crawled, about = crawl_sites(spark.createDataFrame([("https://a.example/",), ("https://a.example/#again",), ("https://b.example/",), ("https://c.example/x",)], "url string"), f"file://{tmp_path}/crawl", get=get)
+    got = {r["url"]: (r["place"], r["page_status"], r["status"]) for r in crawled.collect()}
+    assert got == {"https://a.example/": (0, "ok", 200), "https://a.example/one": (1, "ok", 200), "https://a.example/two": (2, "ok", 200), "https://a.example/lost": (3, "error", None), "https://a.example/three": (4, "ok", 200), "https://c.example/x": (0, "ok", 404)}
+    known = {r["site_id"]: r for r in about.collect()}
+    assert known["b.example"]["blocked_before_fetch"] and not known["a.example"]["blocked_before_fetch"] and known["a.example"]["errors"][0]["type"] == "network"
+    reports = {r["site_id"]: r["report"] for r in A.full_report(crawled, about).collect()}
+    assert set(reports) == {"a.example", "b.example", "c.example"} and reports["b.example"]["partial_reason"] == "blocked"
+    assert reports["a.example"]["diagnostics"]["ai_crawlers"]["blocked"] == ["GPTBot"] and reports["a.example"]["partial_reason"] == "fetch_failed"
+
+
+def test_a_host_s_budget_ends(spark):
+    slow = lambda url, agent, types: dict.fromkeys(("status", "content_type", "html", "byte_size", "error_kind"), None) | {"url": url, "final_url": url, "headers": {}, "fetch_ms": time.sleep(0.2)}
+    urls = spark.createDataFrame([(f"https://a.example/{i}", i) for i in range(8)], "url string, place long")
+    kinds = [r["error_kind"] for r in fetch.fetch_table(urls, 1, get=slow, budget_s=0.5).collect()]
+    assert kinds.count("budget") in (4, 5, 6) and len(kinds) == 8
+
+
+def test_sockets_are_closed():
+    closed = []
+    connect = lambda *a: fetch.Response(200, dict(HTML), lambda n, parts=[b"<p>x</p>", b""]: parts.pop(0), lambda: closed.append(1))
+    assert fetch.safe_get("https://a.example/", connect=connect, resolve=PUBLIC)["html"] == "<p>x</p>" and closed
+
+
 def test_sitemaps_expand_one_level(spark):
     listed = spark.createDataFrame([("s", "i", 0), ("s", "u", 1), ("s", "late", 3)], "site_id string, sitemap string, place int")
     contents = spark.createDataFrame([("i", ([], ["c"])), ("u", (["/1"], [])), ("c", (["/2"], ["deeper"])), ("late", (["/3"], []))], "sitemap string, s struct<pages:array<string>,children:array<string>>")
