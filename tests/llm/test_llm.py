@@ -126,6 +126,16 @@ def test_components(spark):
     assert got == {x: find(x) for l in links if l[0] != l[1] for x in l}
 
 
+def test_components_read_links_once(spark):
+    """Links that come out differently each time they are computed, as those of a task whose rows come in another order."""
+    pairs = spark.range(200).select((F.col("id") * 2).alias("x"))
+    flip = F.rand() < 0.5
+    links = pairs.select(F.when(flip, F.struct(F.col("x").alias("a"), (F.col("x") + 1).alias("b"))).otherwise(F.struct((F.col("x") + 1).alias("a"), F.col("x").alias("b"))).alias("l")).select("l.*")
+    more = pairs.select(F.when(F.rand() < 0.5, F.col("x")).otherwise(F.col("x") + 1).alias("a"), ((F.floor(F.col("x") / 10) * 10) + 1000).cast("long").alias("b"))
+    got = {r["node"]: r["component"] for r in connected_components(links.unionByName(more)).collect()}
+    assert all(got[x] == got[x + 1] for x in range(0, 400, 2)) and len(set(got.values())) == 40
+
+
 @pytest.mark.parametrize("window", [35, 12])
 def test_substring_dedup(spark, texts, window):
     many = [*texts, "a " * 100, "a " * 34, "a " * 35, texts[0][:300] + " q " + texts[0][200:]]
