@@ -15,9 +15,11 @@ whole sequence as one. Documents of equal sets form a class; classes link when
 3. Each family's sets stand in a trie by global order. All sets descend it at once,
    with one running overlap for each and shared prefixes counted once; a set leaves
    a subtree when overlap plus what remains on either side cannot reach the bound.
-   A family beyond FAMILY_SETS sets or FAMILY_HASHES hashes is split in blocks, and
-   each pair of blocks is a task. Only links that join two components so far leave a
-   task, so a family of n sets sends n - 1 links at most, never its pairs.
+   A family is split in bands of set sizes, each of which spans the ratio that linked
+   sets may have, so that a set meets its own band and the next one only; a band beyond
+   FAMILY_SETS sets or FAMILY_HASHES hashes is split in blocks, and each pair of blocks
+   that may link is a task. Only links that join two components so far leave a task,
+   so n sets send n - 1 links at most, never their pairs.
 4. Components of those links are the groups.
 
 Defined cases: a null text, or one without words, has an empty set and links with
@@ -29,6 +31,7 @@ alone; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +46,7 @@ from pagescope.llm.components import connected_components
 from pagescope.llm.words import mix, ngrams, split_words, text_slices
 
 #: A family with more sets or hashes is split in blocks of at most so many.
-FAMILY_SETS, FAMILY_HASHES = 3000, 2_000_000
+FAMILY_SETS, FAMILY_HASHES = 500, 400_000
 #: Classes that a task remembers to have sent; beyond, copies may be sent again. Bounds memory only.
 REMEMBERED = 1 << 20
 
@@ -376,7 +379,7 @@ def _links_of_blocks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
                     held.append(row)
         yield from done()
 
-    keys = ["family", "i", "j"]
+    keys = ["family", "i", "j"]  # i and j: band and block
     return rows.select(*keys, "class", "n", "hashes", "side").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(batches, "a long, b long")
 
 
@@ -392,17 +395,32 @@ def class_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Dat
     storage.release_shuffles(spark)
     families = connected_components(_prefix_links(candidates, buckets)).withColumnRenamed("component", "family")
     rows = candidates.join(families.withColumnRenamed("node", "class"), "class")
-    weight = candidates.select("class", "m").join(families.withColumnRenamed("node", "class"), "class").groupBy("family").agg(F.count("*").alias("sets"), F.sum("m").alias("held"))
-    blocks = weight.select("family", F.greatest(F.ceil(F.col("sets") / FAMILY_SETS), F.ceil(F.col("held") / FAMILY_HASHES)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Linked sets of sizes x <= y have percent * y <= 100 * x: they lie in one band of that ratio or in two neighbouring ones.
+    # The ratio is a little wider than that, so that no rounding of a logarithm puts two bands between them.
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) + 1e-6)).cast("long"))
+    weight = rows.groupBy("family", "band").agg(F.count("*").alias("sets"), F.sum("m").alias("held"))
+    large = (F.sum("sets") > FAMILY_SETS) | (F.sum("held") > FAMILY_HASHES)
+    whole = weight.groupBy("family").agg(large.alias("large"))
+    blocks = weight.join(whole.filter("large"), "family", "left_semi").select("family", "band", F.greatest(F.ceil(F.col("sets") / FAMILY_SETS), F.ceil(F.col("held") / FAMILY_HASHES)).cast("int").alias("blocks"))
+    after = blocks.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("after"))
+    before = blocks.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("before"))
+    deal = storage.materialise(blocks.join(after, ["family", "band"], "left").join(before, ["family", "band"], "left"), "blocks")
+    rows = rows.join(deal, ["family", "band"], "left")  # families within the limits are one block
+    rows = rows.withColumns({"band": F.when(F.col("blocks").isNull(), 0).otherwise(F.col("band")), "blocks": F.coalesce("blocks", F.lit(1))})
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    name = lambda band, i: F.struct(band.alias("band"), i.alias("block"))
+    count = lambda c: F.sequence(F.lit(0), F.coalesce(c, F.lit(0)) - 1)
+    others = lambda shift, c: F.when(F.coalesce(c, F.lit(0)) > 0, F.transform(count(c), lambda i: name(F.col("band") + shift, i))).otherwise(F.expr("array()"))
+    rows = rows.withColumn("own", name(F.col("band"), own)).withColumn("other", F.explode(F.concat(others(-1, F.col("before")), others(0, F.col("blocks")), others(1, F.col("after")))))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") > F.col("other"), 1).otherwise(0)})
     return _links_of_blocks(rows, percent, buckets)
 
 
 def _named(docs: DataFrame, signed: DataFrame, k: int, percent: int, least: Column, name: str) -> DataFrame:
     """class and, as name, the least of the rows of all classes linked to it."""
-    groups = connected_components(class_links(docs, signed, k, percent)).withColumnRenamed("node", "class")
+    spark = docs.sparkSession
+    with storage.scope(spark):  # candidates, families and labels are of no use once the groups are known
+        groups = storage.materialise(connected_components(class_links(docs, signed, k, percent)).withColumnRenamed("node", "class"), "", storage.new_path(spark, "groups"))
     classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min(least).alias("least"))
     classes = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     return classes.join(classes.groupBy("component").agg(F.min("least").alias(name)), "component").select("class", name)

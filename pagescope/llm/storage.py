@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,10 +33,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that are materialised within it without a path of their own go when it ends, and so do their shuffles."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_path(spark, path)
+        release_shuffles(spark)
+
+
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it again."""
     spark = df.sparkSession
-    path = path or new_path(spark, name)
+    if path is None:
+        path = new_path(spark, name)
+        if _SCOPES:
+            _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
