@@ -438,6 +438,48 @@ def test_rare_labels_are_not_learned(spark, monkeypatch):
     assert set(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == {"en"}
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """Labels below the bound of the dense table, in one sparse part or in many, against all of them in the dense table."""
+    r = random.Random(5)
+    words_of = {"en": ["the", "and", "with", "house", "thing"], "fr": ["le", "être", "où", "maison", "chose"], "und": ["og", "kvæld", "snø", "hytte", "fjord"], "fi": ["kissa", "yö", "talo", "metsä", "järvi"], "hu": ["ház", "erdő", "kutya", "szép", "nagyon"]}
+    kinds = ["en", "fr"] * 150 + ["und", "fi", "hu"] * 12
+    rows = [(i, " ".join(r.choice(words_of[k]) for _ in range(15)), k) for i, k in enumerate(kinds)]
+    rows += [(900, None, "xx"), (901, "12 !", "yy"), (902, "12 !", None), (903, "", "en"), (904, "Ω ж 字", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rejected", F.lit("mine"))
+    whole = language_id.fit(d)
+    assert set(whole.langs) == set(words_of) and whole.block is None
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 10)
+    for entries in (language_id.BLOCK_ENTRIES, 400):
+        monkeypatch.setattr(language_id, "BLOCK_ENTRIES", entries)
+        model = language_id.fit(d)
+        assert set(model.langs) == {"en", "fr"} and (model.parts > 1) == (entries == 400)
+        got = {x["doc_id"]: x for x in language_id.identify(d, model).collect()}
+        assert all(got[i]["lang_pred"] == k for i, k in enumerate(kinds)) and all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902, 903))
+        for i, text, _ in rows:
+            lang, score, rejected = whole.predict(text)
+            for one in [tuple(got[i][c] for c in ("lang_pred", "score", "rejected")), *([model.predict(text)] if i % 111 == 0 else [])]:
+                assert (one[0], one[2]) == (lang, rejected) and abs(one[1] - score) < 1e-4
+        kept = language_id.keep_known(d, model)
+        assert kept.columns == d.columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if not x["rejected"]}
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    assert {x["doc_id"]: x["lang_pred"] for x in language_id.identify(d, language_id.fit(d)).collect() if x["doc_id"] < 900} == dict(enumerate(kinds))
+
+
+def test_centroids_hold_every_learning_row(spark):
+    """Each n-gram of each learning row has weight in its language, and centroids are the means of the rows nearest to them."""
+    r = random.Random(6)
+    rows = [(i, f"the house and {''.join(r.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(9))} thing", "en") for i in range(900)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sums = np.zeros(model.table.shape)
+    for i, text, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            dims, n = language_id.counts(text)
+            assert (model.table[dims].max(1) > 0).all()
+            v = language_id.weigh(dims, n, model.idf)
+            sums[dims, int(np.argmax(v @ model.table[dims]))] += v
+    assert ((model.table * sums).sum(0) / np.linalg.norm(sums, axis=0)).min() > 0.98
+
+
 def test_secret_scan(spark):
     key = "AKIA" + "ABCD1234EFGH5678"
     rows = [f"é {key} x", 'Token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "password: short", "passwd=abcdef", "0123456789abcdef01234567", "bearer Zx81kQp0Vv72mNw4 here", "the secret of a bakery is internationalisation2", None, "", "a" * 100_000 + " apikey:abcdefg1"]
